@@ -14,54 +14,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.text import Generations, id_and_text, slices
+from inkmesh.llm.text import Generations, id_and_text, no_cycles, slices
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
-#: Only these separate: the tokenizer drops them, so a token never crosses one, and what stands between can be encoded alone.
+#: Where text is cut into words when str.split() would cut at more than the tokenizer's white space.
 _SPLIT = re.compile(r"[ \t\n\r]+")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+# The tokenizer's own pattern of parts, for lower-case text of code points up to U+00FF.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\t-\r \x85\xa0]+")
 
 
 def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file is on this machine; every function here also takes a path of the caller's."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if visible, else the next from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in seen)}
+
+
 class WordEncoder:
-    """ids of whole texts, as little-endian unsigned 32-bit bytes, by way of a cache of the texts' words.
+    """ids of whole texts, as little-endian unsigned 32-bit bytes, by way of a cache of the texts' words and their parts.
 
-    A word here is what stands between spaces, tabs and line ends. Unknown words are encoded together in one call and
-    taken apart at the positions of the separators, through the character offsets that the tokenizer returns.
+    A word is what stands between white space, which the tokenizer drops: no token crosses it. Words of code points up
+    to U+00FF are lower-cased and cut into parts here, exactly as the tokenizer does it for them, and only parts that
+    are new go through its merges, many in one call: the last token of each part ends in the vocabulary's word-end
+    mark. Any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Generations()
+        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters = _byte_letters()
+        self.words, self.parts = Generations(), Generations()
+
+    def _written(self, part: str) -> str:
+        return part if part.isascii() and part.isalnum() else part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
     def _learn(self, words: list[str]) -> None:
-        known = self.cache.young
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            begins = np.cumsum([0] + [len(w) + 1 for w in part])
-            at = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(at, begins).tolist()
+        known, cut, other = self.words.young, {}, []
+        for w in words:
+            if "<|" not in w and (w.isascii() or max(w) <= "\xff"):
+                cut[w] = _PART.findall(w.lower())
+            else:
+                other.append(w)
+        new = self.parts.missing({p for parts in cut.values() for p in parts})
+        found = self.parts.young
+        for k in range(0, len(new), 2000):
+            some = new[k : k + 2000]
+            ids = np.array(self.merges.encode(" ".join(map(self._written, some)), add_special_tokens=False).ids, "<u4")
+            at = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
             data = ids.tobytes()
-            for w, a, b in zip(part, cuts, cuts[1:]):
-                known[w] = data[4 * a : 4 * b]
+            found.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, at, at[1:]))
+        known.update((w, b"".join(map(found.__getitem__, parts))) for w, parts in cut.items())
+        for w, e in zip(other, self.whole.encode_batch(other, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [_SPLIT.split(t) for t in texts]
-        new = self.cache.missing(set().union(*words))
+        with no_cycles():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        words = [_SPLIT.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
+        new = self.words.missing(set().union(*words))
         if new:
             self._learn(new)
-        get = self.cache.young.__getitem__
+        get = self.words.young.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 

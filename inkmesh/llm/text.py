@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2_000_000) ->
     """Cut a batch into runs of about `most` bytes of text, whole texts always; a null text counts as empty."""
     column = batch.column(batch.schema.get_field_index(text))
     size, begin = 0, 0
-    lengths = pa.compute.binary_length(column).to_pylist()
+    lengths = pc.binary_length(column).to_pylist()
     for i, n in enumerate(lengths):
         size += n or 0
         if size >= most or i + 1 == len(lengths):
@@ -27,6 +30,18 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2_000_000) ->
             size, begin = 0, i + 1
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Hold the cycle collector while many small objects without cycles are made: it would walk all caches again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Generations:
     """A bounded cache: two generations of entries; what is used again moves to the young one, the rest is forgotten."""
 
