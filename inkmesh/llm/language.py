@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.llm.labelled import held_out
+from inkmesh.llm.lattice import PieceTable, code_points
 from inkmesh.llm.packing import tokenizer_path
 from inkmesh.llm.text import Generations, id_and_text, no_cycles, slices
 from inkmesh.plans.staging import stage
@@ -46,23 +47,23 @@ class PieceModel:
     langs: list[str]
     pieces: list[str]
     p: np.ndarray
-    _index: dict[str, int] = field(default_factory=dict, repr=False)
+    _table: PieceTable | None = field(default=None, repr=False)
     _words: Generations = field(default_factory=lambda: Generations(200_000), repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": {}, "_words": None}
-
-    def index(self) -> dict[str, int]:
-        if not self._index:
-            self._index = {p: k for k, p in enumerate(self.pieces)}
-        return self._index
+        return self.__dict__ | {"_table": None, "_words": None}
 
     def lattice(self, words: list[str]) -> np.ndarray:
-        """For words of one length n: piece ids by word, end 1..n and piece length 1..K; absent ones point at a row of zeros."""
-        get, none, unknown = self.index().get, len(self.pieces) + 1, len(self.pieces)
-        n = len(words[0])
-        ids = [[[get(w[j - k : j], unknown if k == 1 else none) if k <= j else none for k in range(1, LONGEST_PIECE + 1)] for j in range(1, n + 1)] for w in words]
-        return np.array(ids, np.int32).reshape(len(words), n, LONGEST_PIECE)
+        """For words of one length n: piece numbers by word, end 1..n and piece length 1..K; absent ones point at a row of zeros."""
+        if self._table is None:
+            self._table = PieceTable(self.pieces)
+        n, none, unknown = len(words[0]), len(self.pieces) + 1, len(self.pieces)
+        rows = self._table.rows(code_points(words), LONGEST_PIECE).reshape(-1, len(words), n + 1)
+        ids = np.full((len(words), n, LONGEST_PIECE), none, np.int32)
+        for k in range(1, min(n, LONGEST_PIECE) + 1):
+            found = rows[k, :, : n - k + 1]
+            ids[:, k - 1 :, k - 1] = np.where(found >= 0, found, unknown if k == 1 else none)
+        return ids
 
     def forward(self, ids: np.ndarray) -> np.ndarray:
         """alpha[word, end, language]: the sum over all segmentations of the first `end` letters."""

@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from inkmesh.llm.lattice import PieceTable, code_points
 from inkmesh.llm.packing import tokenizer_path
 from inkmesh.llm.text import Generations, id_and_text, no_cycles, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Texts are cut before marks that follow a letter, and around line ends: no piece crosses these places.
+_CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 Best = list[tuple[float, tuple[int, ...]]]
 
@@ -46,12 +48,18 @@ class PieceCoder:
         self.unknown = min(s for _, s in self.pieces.values()) - 10
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece has a space behind a letter: texts cannot be cut before spaces")
+        if any("\n" in p for p in self.pieces):
+            raise ValueError("a piece has a line end: texts cannot be cut around line ends")
         #: Two letters that no piece holds side by side: every segmentation has a boundary between them.
         self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.reach: dict[str, int] = {}
         for p in self.pieces:
             self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
-        self.segments, self.chunks = Generations(150_000), Generations(150_000)
+        self.longest = max(map(len, self.pieces))
+        names = list(self.pieces)
+        self.ids, self.scores = np.array([self.pieces[p][0] for p in names] + [-1]), np.array([self.pieces[p][1] for p in names] + [self.unknown])
+        self.lookup = PieceTable(names)
+        self.chunks, self.several = Generations(150_000), Generations(20_000)
 
     def lattice(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """edges[j]: (i, ids, score) of every piece text[i:j], shortest first."""
@@ -93,6 +101,10 @@ class PieceCoder:
                 heapq.heappush(heap, (-(done + s + best[i]), opened, i, done + s, own + ids))
         return out
 
+    def _cut(self, chunk: str) -> list[str]:
+        cuts = [0, *(k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.inside), len(chunk)]
+        return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def merge(self, left: Best, right: Best) -> Best:
         """The n best joins of two neighbours' segmentations."""
         if len(left) == len(right) == 1:
@@ -100,20 +112,84 @@ class PieceCoder:
         sums = sorted((-(a + b), i, j) for i, (a, _) in enumerate(left) for j, (b, _) in enumerate(right) if i + j < self.n)
         return [(-s, left[i][1] + right[j][1]) for s, i, j in sums[: self.n]]
 
-    def _cut(self, chunk: str) -> list[str]:
-        cuts = [0, *(k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.inside), len(chunk)]
-        return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
+    def nbest(self, chunk: str) -> list[tuple[float, bytes]]:
+        """The n best of one chunk, by the search over each of its independent segments."""
+        best: Best = [(0.0, ())]
+        for s in self._cut(chunk):
+            best = self.merge(best, self.search(s))
+        return [(s, np.array(i, "<u4").tobytes()) for s, i in best]
+
+    def _known(self, chunk: str) -> list[tuple[float, bytes]]:
+        if self.several.missing({chunk}):
+            self.several.young[chunk] = self.nbest(chunk)
+        return self.several.young[chunk]
+
+    def forward(self, chunks: list[str]) -> list[tuple[float, float, bytes]]:
+        """(best score, what the second best loses, ids of the best) of many chunks at once.
+
+        Viterbi forward with the two best scores of every place, a step a letter, all chunks abreast; pieces are looked
+        up by a rolling hash in one table. Places whose best is not unique take their ids from the search.
+        """
+        order = sorted(range(len(chunks)), key=lambda i: -len(chunks[i]))
+        size = np.array([len(chunks[i]) for i in order])
+        begin = np.r_[0, np.cumsum(size + 1)]  # place p of chunk c is at begin[c] + p, p = 0..size
+        letters = code_points([chunks[i] for i in order])
+        n, most = len(letters), self.longest
+        row = self.lookup.rows(letters, most)
+        score = np.where(row >= 0, self.scores[row], -np.inf)
+        score[1, row[1] < 0] = self.unknown
+        one, two, back = np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
+        one[begin[:-1]] = 0
+        active = len(order)
+        for j in range(1, int(size[0]) + 1 if len(size) else 0):
+            while size[active - 1] < j:
+                active -= 1
+            k = min(j, most)
+            at = begin[:active, None] + j
+            came = at - np.arange(1, k + 1)
+            edge = score[np.arange(1, k + 1)[None, :], came]
+            a, b = one[came] + edge, two[came] + edge
+            pick = a.argmax(1)
+            rows = np.arange(active)
+            at = at[:, 0]
+            one[at], back[at] = a[rows, pick], pick + 1
+            a[rows, pick] = b[rows, pick]
+            b[rows, pick] = -np.inf
+            two[at] = np.maximum(a.max(1), b.max(1))
+        last = begin[:-1] + size
+        where, piece, place, own = [], [], last.copy(), np.arange(len(order))
+        while len(own):  # back along the best paths
+            k = back[place]
+            place = place - k
+            where.append(place)
+            piece.append(row[k, place])
+            more = place > begin[own]
+            own, place = own[more], place[more]
+        at, found = np.concatenate([*where, np.zeros(0, np.int64)]), np.concatenate([*piece, np.zeros(0, np.int64)])
+        turn = np.argsort(at)
+        at, ids = at[turn], self.ids[found[turn]]
+        cuts = np.searchsorted(at, begin).tolist()
+        data = ids.astype("<u4").tobytes()
+        odd = set(np.searchsorted(begin, at[ids < 0], "right") - 1)  # chunks with a letter that is no piece
+        out: list = [None] * len(chunks)
+        gaps, bests = (one[last] - two[last]).tolist(), one[last].tolist()
+        for c, i in enumerate(order):
+            if c in odd or gaps[c] == 0:
+                some = self._known(chunks[i])
+                out[i] = (some[0][0], some[0][0] - some[1][0] if len(some) > 1 else np.inf, some[0][1])
+            else:
+                out[i] = (bests[c], gaps[c], data[4 * cuts[c] : 4 * cuts[c + 1]])
+        return out
 
     def _learn(self, chunks: list[str]) -> None:
-        cut = [self._cut(c) for c in chunks]
-        for s in self.segments.missing({s for parts in cut for s in parts}):
-            self.segments.young[s] = self.search(s)
-        get = self.segments.young.__getitem__
-        for c, parts in zip(chunks, cut):
-            best = get(parts[0])
-            for s in parts[1:]:
-                best = self.merge(best, get(s))
-            self.chunks.young[c] = (best[0][0], best[0][0] - best[1][0] if len(best) > 1 else np.inf, [(s, np.array(i, "<u4").tobytes()) for s, i in best])
+        short = [c for c in chunks if len(c) <= 64]
+        for k in range(0, len(short), 20_000):
+            some = short[k : k + 20_000]
+            self.chunks.young.update(zip(some, self.forward(some)))
+        for c in chunks:
+            if len(c) > 64:
+                some = self.nbest(c)
+                self.chunks.young[c] = (some[0][0], some[0][0] - some[1][0] if len(some) > 1 else np.inf, some[0][1])
 
     def encode(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
         """Of each text its n best (score, ids as little-endian unsigned 32-bit bytes), best first; of an empty text, one without ids."""
@@ -123,24 +199,25 @@ class PieceCoder:
             if new:
                 self._learn(new)
             get = self.chunks.young.__getitem__
-            return [self._whole(list(map(get, chunks))) for chunks in cut]
+            return [self._whole(chunks, list(map(get, chunks))) for chunks in cut]
 
-    def _whole(self, chunks: list[tuple]) -> list[tuple[float, bytes]]:
+    def _whole(self, names: list[str], chunks: list[tuple[float, float, bytes]]) -> list[tuple[float, bytes]]:
         """n best of a text from those of its chunks: chunks are independent, so only the n - 1 chunks that lose least matter."""
-        parts = [c[2][0][1] for c in chunks]
+        parts = [c[2] for c in chunks]
         total = sum([c[0] for c in chunks])
         out = [(total, b"".join(parts))]
         if self.n > 1 and chunks:
             gap = np.fromiter([c[1] for c in chunks], float, len(chunks))
             least = np.argsort(gap, kind="stable")[: self.n - 1] if len(gap) <= 64 else self._least(gap)
             choices: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-            for k in sorted(least[np.isfinite(gap[least])].tolist()):
-                own = [chunks[k][0] - s for s, _ in chunks[k][2]]
+            several = {k: self._known(names[k]) for k in sorted(least[np.isfinite(gap[least])].tolist())}
+            for k, best in several.items():
+                own = [best[0][0] - s for s, _ in best]
                 choices = sorted((d + own[r], c + ((k, r),) if r else c) for d, c in choices for r in range(len(own)))[: self.n]
             for lost, choice in choices[1:]:
                 other = parts.copy()
                 for k, r in choice:
-                    other[k] = chunks[k][2][r][1]
+                    other[k] = several[k][r][1]
                 out.append((total - lost, b"".join(other)))
         return out
 

@@ -50,12 +50,15 @@ class Generations:
 
     def missing(self, keys: set) -> list:
         """Make room, carry what is known over, and return the keys that still need a value."""
-        need = keys - self.young.keys()
+        young = self.young
+        need = [k for k in keys if k not in young]
         if len(self.young) + len(need) > self.most:
-            self.old, self.young, need = self.young, {}, keys
-        known = need & self.old.keys()
-        if known:
-            old = self.old
-            self.young.update((k, old[k]) for k in known)
-            need = need - known
-        return list(need)
+            self.old, self.young, need = self.young, {}, list(keys)
+        young, old = self.young, self.old
+        new = []
+        for k in need:
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(k)
+        return new
