@@ -39,6 +39,11 @@ elsevier rights reserved copyright ltd inc springer wiley published author autho
 """.split())
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once: an expression that is written several times would also run several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extract_terms(title: Column, abstract: Column, longest: int = 3) -> Column:
     """Distinct 1- to 3-grams of the runs between stop words, numbers, short words and punctuation.
 
@@ -67,9 +72,12 @@ def stem(w: Column) -> Column:
     cut = lambda x, k, add="": F.concat(F.substring(x, F.lit(1), F.length(x) - k), F.lit(add))
     n = F.length(w)
     a = F.when(w.endswith("ies") & (n >= 6), cut(w, 3, "y")).when(w.endswith("sses") & (n >= 7), cut(w, 2)).when(w.endswith("ss") & (n >= 5), w).when(w.endswith("s") & (n >= 4) & ~(w.endswith("us") & (n >= 5)) & ~(w.endswith("is") & (n >= 5)), cut(w, 1)).otherwise(w)
-    m = F.length(a)
-    b = F.when(a.endswith("ing") & (m > 6), cut(a, 3)).when(a.endswith("ed") & (m > 5), cut(a, 2)).otherwise(a)
-    return F.when(b.endswith("ation") & (F.length(b) > 8), cut(b, 3)).otherwise(b)
+
+    def suffix(a: Column) -> Column:
+        m = F.length(a)
+        return F.when(a.endswith("ing") & (m > 6), cut(a, 3)).when(a.endswith("ed") & (m > 5), cut(a, 2)).otherwise(a)
+
+    return let(let(a, suffix), lambda b: F.when(b.endswith("ation") & (F.length(b) > 8), cut(b, 3)).otherwise(b))
 
 
 def similarity_tokens(text: Column) -> Column:
@@ -77,8 +85,12 @@ def similarity_tokens(text: Column) -> Column:
     t = F.regexp_replace(lower(F.coalesce(text, F.lit(""))), r"(?<=[a-z0-9\x80-\x{10FFFF}])-+", "")
     words = F.filter(F.split(t, r"[^a-z0-9\x80-\x{10FFFF}]+"), lambda w: w != "")
     kept = F.transform(words, lambda w: F.when((F.octet_length(w) < 3) | w.rlike("^[0-9]+$") | w.isin(*SIMILARITY_STOP_WORDS), "").otherwise(stem(w)))
-    pairs = F.zip_with(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.slice(kept, 2, 1 << 30), lambda a, b: F.when((a != "") & (b != ""), F.concat_ws("_", a, b)).otherwise(""))
-    return F.filter(F.concat(kept, pairs), lambda x: F.coalesce(x, F.lit("")) != "")
+
+    def with_pairs(k: Column) -> Column:
+        pairs = F.zip_with(F.slice(k, F.lit(1), F.greatest(F.size(k) - 1, F.lit(0))), F.slice(k, 2, 1 << 30), lambda a, b: F.when((a != "") & (b != ""), F.concat_ws("_", a, b)).otherwise(""))
+        return F.filter(F.concat(k, pairs), lambda x: F.coalesce(x, F.lit("")) != "")
+
+    return let(kept, with_pairs)
 
 
 def record_text(title: Column, abstract: Column, keywords: Column) -> Column:
