@@ -24,7 +24,7 @@ def ref_year(ref: Column) -> Column:
 
 def ref_doi(ref: Column) -> Column:
     """The DOI in a reference, or an empty text."""
-    return norm_doi(F.regexp_extract(lower(ref), r"(10\.\d{3,9}/[^\s,;\]]+)", 1))
+    return norm_doi(F.regexp_extract(lower(ref), r"(10\.\d+/[^\s,;\]]+)", 1))
 
 
 def ref_parse(ref: Column) -> Column:

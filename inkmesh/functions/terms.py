@@ -56,11 +56,14 @@ def extract_terms(title: Column, abstract: Column, longest: int = 3) -> Column:
     marked = F.transform(tokens, lambda t: F.when((F.length(t) < 3) | t.rlike(r"^[0-9\-]*$") | t.contains("|") | t.isin(*STOP_WORDS), "|").otherwise(t))
     runs = F.transform(F.filter(F.split(F.array_join(marked, " "), r"(?:^| )\|(?: \|)*(?: |$)"), lambda r: r != ""), lambda r: F.split(r, " "))
 
+    def gram(run: Column, n: int):
+        return lambda i: F.array_join(F.slice(run, i, n), " ")
+
     def grams(run: Column) -> Column:
         parts = []
         for n in range(1, longest + 1):
             starts = F.when(F.size(run) >= n, F.sequence(F.lit(1), F.greatest(F.size(run) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-            found = F.transform(starts, lambda i, n=n: F.array_join(F.slice(run, i, n), " "))
+            found = F.transform(starts, gram(run, n))
             parts.append(F.filter(found, lambda t: F.length(t) >= 5) if n == 1 else found)
         return F.concat(*parts)
 

@@ -9,7 +9,8 @@ from inkmesh.functions import refs as R
 from inkmesh.functions.terms import extract_terms
 from inkmesh.functions.text import bib_key, pick_org, source_key, split_any
 
-_EMPTY = F.array().cast("array<string>")
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def in_years(year: Column, first: int | None = None, last: int | None = None) -> Column:
@@ -23,7 +24,7 @@ def in_years(year: Column, first: int | None = None, last: int | None = None) ->
 
 
 def _labels(unit: str) -> Column:
-    c = lambda n: F.coalesce(F.col(n), _EMPTY)
+    c = lambda n: F.coalesce(F.col(n), _empty())
     if unit == "all_keywords":
         return F.concat(c("keywords"), c("index_terms"))
     if unit in ("keywords", "index_terms", "authors", "countries"):
