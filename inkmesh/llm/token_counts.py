@@ -80,8 +80,8 @@ SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_acros
 def section_tokens(docs: DataFrame, path: str | None = None, rule: str = "first", sections: Column | None = None) -> DataFrame:
     """documents -> doc_id, section, start, end, n_tokens, n_across: tokens of each section of each whole text.
 
-    sections: a column of ascending character offsets at which sections begin, tiling the text; the first section
-    always begins at 0. Without it, each line with its line end is a section. start and end count code points, end
+    sections: a column of character offsets at which sections begin, tiling the text; the first section always begins
+    at 0, and of sections that begin at one place all but the last are empty. Without it, each line with its line end is a section. start and end count code points, end
     excluded; n_across counts tokens given to a section that also reach into another, by `rule` (see allocate). A null
     or empty text has one empty section; repeated rows stay.
     """
@@ -102,9 +102,10 @@ def section_tokens(docs: DataFrame, path: str | None = None, rule: str = "first"
                     data = np.frombuffer(text.encode("utf-8"), np.uint8)
                     letter = (data & 0xC0) != 0x80
                     if given:
-                        at = np.flatnonzero(letter)
-                        chars = np.unique(np.clip(np.array([0, *(c for c in cut or [] if c is not None)], np.int64), 0, max(0, len(at) - 1)))
-                        starts = at[chars] if len(at) else np.zeros(1, np.int64)
+                        at = np.r_[np.flatnonzero(letter), len(data)]
+                        own = sorted(c for c in cut or [] if c is not None)
+                        chars = np.clip(np.array(own if own and own[0] == 0 else [0, *own], np.int64), 0, len(at) - 1)
+                        starts = at[chars]
                     else:
                         lines = np.flatnonzero(data == 10) + 1
                         starts = np.r_[0, lines[lines < len(data)]]
