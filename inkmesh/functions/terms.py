@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.functions.text import ascii_fold, lower
@@ -96,6 +96,20 @@ def similarity_tokens(text: Column) -> Column:
     return let(kept, with_pairs)
 
 
+def similarity_token_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """(doc, text) -> doc, token: the elements of similarity_tokens a row each.
+
+    Words are made rows before anything is done to them, so that stems are compiled code and not folds over arrays; a
+    word's neighbour travels in its row.
+    """
+    t = F.regexp_replace(lower(F.coalesce(F.col(text), F.lit(""))), r"(?<=[a-z0-9\x80-\x{10FFFF}])-+", "")
+    words = F.filter(F.split(t, r"[^a-z0-9\x80-\x{10FFFF}]+"), lambda w: w != "")
+    rows = df.select("doc", words.alias("w")).select("doc", F.explode(F.arrays_zip("w", F.slice("w", 2, 1 << 30).alias("next"))).alias("x")).select("doc", F.col("x.w").alias("a"), F.col("x.next").alias("b"))
+    term = lambda w: (F.octet_length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~w.isin(*SIMILARITY_STOP_WORDS)
+    kept = rows.where(term(F.col("a"))).select("doc", stem(F.col("a")).alias("a"), F.when(term(F.col("b")), stem(F.col("b"))).alias("b"))
+    return kept.select("doc", F.explode(F.array_compact(F.array("a", F.when(F.col("b").isNotNull(), F.concat_ws("_", "a", "b"))))).alias("token"))
+
+
 def record_text(title: Column, abstract: Column, keywords: Column) -> Column:
     """What a record is compared by: its title twice, abstract and keywords."""
     return F.concat_ws(" ", title, title, abstract, F.array_join(keywords, " "))

@@ -62,6 +62,25 @@ def coupling(cited: DataFrame, max_docs: int = 2000, fractional: bool = False) -
     return one.join(two, "ref").where("a < b").groupBy("a", "b").agg(F.sum(w).alias("w"))
 
 
+def coupling_units(cited: DataFrame, inc: DataFrame, max_docs: int = 2000, fractional: bool = False) -> DataFrame:
+    """What unit_links(coupling(cited), inc) gives, without making a pair of documents.
+
+    With c_u(r) the (fractional) documents of unit u that cite r, a reference adds c_u c_v to the link of u and v, less
+    what documents that hold both units add by themselves. A reference of n documents costs the square of its units,
+    not of n.
+    """
+    each = inc.select("doc", "key").distinct()
+    each = each.withColumn("x", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("doc")) if fractional else F.lit(1.0))
+    refs = cited.select("doc", "ref").distinct()
+    n = refs.groupBy("ref").count().where(F.col("count").between(2, max_docs)).select("ref", (1.0 / (F.col("count") - 1) if fractional else F.lit(1.0)).alias("f"))
+    kept = refs.join(n, "ref")
+    by_ref = kept.join(each, "doc").groupBy("ref", "key").agg(F.sum("x").alias("c"), F.first("f").alias("f"))
+    across = by_ref.select("ref", F.col("key").alias("a"), F.col("c").alias("ca"), "f").join(by_ref.select("ref", F.col("key").alias("b"), F.col("c").alias("cb")), "ref").where("a < b").groupBy("a", "b").agg(F.sum(F.col("f") * F.col("ca") * F.col("cb")).alias("w"))
+    weight = kept.groupBy("doc").agg(F.sum("f").alias("f"))
+    within = each.select("doc", F.col("key").alias("a"), "x").join(each.select("doc", F.col("key").alias("b")), "doc").where("a < b").join(weight, "doc").groupBy("a", "b").agg(F.sum(-F.col("f") * F.col("x") * F.col("x")).alias("w"))
+    return across.unionByName(within).groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1e-9")
+
+
 def citation_links(edges: DataFrame) -> DataFrame:
     """(citing, cited) -> a < b, w: both directions add up; a document does not cite itself."""
     return edges.where("citing <> cited").groupBy(F.least("citing", "cited").alias("a"), F.greatest("citing", "cited").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
@@ -178,7 +197,7 @@ def raw_pairs(records: DataFrame, spec: MapSpec, thesaurus: DataFrame | None = N
         return inc, docs, cooccurrence(inc, spec.minimum, spec.fractional, most)
     if spec.analysis == "coupling":
         cited = units.incidence(rec, "refs").select("doc", F.col("key").alias("ref"))
-        doc_pairs = coupling(cited, spec.max_ref_docs, spec.fractional)
+        doc_pairs = coupling(cited, spec.max_ref_docs, spec.fractional) if spec.unit == "documents" else None
     else:
         doc_pairs = citation_links(match.match_refs_strict(rec))
     kept = inc.join(docs.select("doc", "cites"), "doc")
@@ -186,7 +205,10 @@ def raw_pairs(records: DataFrame, spec: MapSpec, thesaurus: DataFrame | None = N
         kept = kept.where(F.col("cites") >= max(spec.minimum, spec.min_cites)).select("doc", "key")
         return inc, docs, links_of_documents(doc_pairs, kept)
     strong = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("cites").alias("c")).where((F.col("n") >= spec.minimum) & (F.col("c") >= spec.min_cites))
-    return inc, docs, unit_links(doc_pairs, inc.join(strong, "key", "left_semi"), spec.fractional)
+    strong_inc = inc.join(strong, "key", "left_semi")
+    if doc_pairs is None:
+        return inc, docs, coupling_units(cited, strong_inc, spec.max_ref_docs, spec.fractional)
+    return inc, docs, unit_links(doc_pairs, strong_inc, spec.fractional)
 
 
 def links_of_documents(doc_pairs: DataFrame, kept: DataFrame) -> DataFrame:

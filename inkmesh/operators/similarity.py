@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,16 @@ def _weights(tokens: DataFrame, n: DataFrame) -> DataFrame:
     return x.join(size, "doc").select("doc", "token", (F.col("x") / F.col("size")).alias("x"))
 
 
-def similarity_to_seeds(docs: DataFrame, seeds: DataFrame, tokens: Column) -> DataFrame:
-    """(doc, ...) and seeds (doc, ...), tokens an array expression over either -> doc, score of docs against the seeds' centroid.
+def similarity_to_seeds(docs: DataFrame, seeds: DataFrame, tokens: Column | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc, ...) and seeds (doc, ...) -> doc, score of docs against the seeds' centroid.
+
+    tokens is an array expression over either table, or a function from a table to its rows doc, token.
 
     N and document frequencies are over seeds and candidates together; a seed among the candidates counts twice.
     """
-    every = docs.select(F.struct(F.lit(0).alias("s"), F.col("doc").cast("string").alias("d")).alias("doc"), F.explode(tokens).alias("token")).unionByName(seeds.select(F.struct(F.lit(1).alias("s"), F.col("doc").cast("string").alias("d")).alias("doc"), F.explode(tokens).alias("token")))
+    rows = tokens if callable(tokens) and not isinstance(tokens, Column) else lambda t: t.select("doc", F.explode(tokens).alias("token"))
+    side = lambda t, s: rows(t).select(F.struct(F.lit(s).alias("s"), F.col("doc").cast("string").alias("d")).alias("doc"), "token")
+    every = side(docs, 0).unionByName(side(seeds, 1))
     n = docs.select(F.lit(1)).unionAll(seeds.select(F.lit(1))).agg(F.count(F.lit(1)).alias("n"))
     x = _weights(every, n)
     centroid = x.where("doc.s = 1").groupBy("token").agg(F.sum("x").alias("c"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions import text as X
-from inkmesh.functions.terms import similarity_tokens
+from inkmesh.functions.terms import similarity_token_rows
 from inkmesh.operators import cleaning, graph, match, network, similarity, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,7 +142,7 @@ def coupling_documents(spark: SparkSession, d: str) -> DataFrame:
 @_register(f"{_DOCPAIRS}, x AS (SELECT least(u.key, v.key) AS a, greatest(u.key, v.key) AS b, w FROM dp JOIN co u ON u.doc = dp.a JOIN co v ON v.doc = dp.b WHERE u.key <> v.key) SELECT a, b, sum(w) AS w FROM x GROUP BY 1, 2")
 def coupling_countries(spark: SparkSession, d: str) -> DataFrame:
     """Bibliographic coupling of countries through their documents' shared references."""
-    return network.unit_links(network.coupling(references(spark, d)), countries(spark, d))
+    return network.coupling_units(references(spark, d), countries(spark, d))
 
 
 @_register("SELECT least(citing, cited) AS a, greatest(citing, cited) AS b, CAST(count(*) AS DOUBLE) AS w FROM ci GROUP BY 1, 2")
@@ -330,7 +330,7 @@ def tfidf_to_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of every document to the centroid of the benchmark's texts."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
     seeds = _t(spark, d, "benchmark").select(F.col("item_id").alias("doc"), "text")
-    return _round(similarity.similarity_to_seeds(docs, seeds, similarity_tokens(F.col("text"))), "score")
+    return _round(similarity.similarity_to_seeds(docs, seeds, similarity_token_rows), "score")
 
 
 @_register("q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id, list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q JOIN embeddings ON query <> vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")

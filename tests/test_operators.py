@@ -210,3 +210,23 @@ def test_variants(spark):
     assert sorted(tuple(r) for r in cleaning.typo_pairs(counts).collect()) == [("bibliometrcs", "bibliometrics"), ("co word analysis", "coword analysis")]
     th = cleaning.merge_terms(spark.createDataFrame([], "key string, replace_by string"), cleaning.variant_groups(counts))
     assert [tuple(r) for r in th.collect()] == [("co word analysis", "coword analysis")]
+
+
+def test_unit_coupling_needs_no_document_pairs(spark):
+    rng = random.Random(1)
+    refs = spark.createDataFrame([(rng.randrange(40), rng.randrange(12)) for _ in range(200)], "doc long, ref long")
+    inc = spark.createDataFrame([(rng.randrange(40), rng.choice("abcde")) for _ in range(90)], "doc long, key string")
+    for fractional in (False, True):
+        slow, fast = (
+            {(r.a, r.b): round(r.w, 6) for r in df.collect()}
+            for df in (network.unit_links(network.coupling(refs, fractional=fractional), inc, fractional), network.coupling_units(refs, inc, fractional=fractional))
+        )
+        assert slow == fast
+
+
+def test_token_rows_are_the_token_arrays(spark):
+    from inkmesh.functions.terms import similarity_token_rows, similarity_tokens
+
+    df = spark.createDataFrame([(1, "Graph Neural Networks of large-scale data -x 12 studies classified optimization"), (2, ""), (3, None), (4, "été naïve 2020 test")], "doc long, text string")
+    a, b = df.select("doc", F.explode(similarity_tokens(F.col("text"))).alias("token")), similarity_token_rows(df)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
