@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.functions import text as X
 from inkmesh.functions.terms import similarity_token_rows
-from inkmesh.operators import cleaning, graph, match, network, similarity, stats
+from inkmesh.operators import cleaning, graph, match, network, similarity, stats, themes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -428,3 +428,33 @@ def resolution_sweep(spark: SparkSession, d: str) -> DataFrame:
 def main_path(spark: SparkSession, d: str) -> DataFrame:
     years = documents(spark, d).select("doc", "year")
     return graph.main_path(graph.path_counts(citations(spark, d), years), years)
+
+
+@_register("best AS (SELECT cited AS doc FROM (SELECT cited, count(*) AS n FROM ci GROUP BY cited ORDER BY n DESC, cited LIMIT 30)) SELECT DISTINCT citing, cited FROM ci WHERE citing IN (SELECT doc FROM best) AND cited IN (SELECT doc FROM best)")
+def historiograph(spark: SparkSession, d: str) -> DataFrame:
+    """Citations among the thirty most cited documents, the chart's own limit."""
+    return themes.historiograph(citations(spark, d))
+
+
+@_register("s AS (SELECT doc, year BETWEEN 1995 AND 1998 AS ia, year BETWEEN 1998 AND 2001 AS ib FROM docs), t AS (SELECT count(*) FILTER (ia) AS na, count(*) FILTER (ib) AS nb FROM s), n AS (SELECT key, count(*) FILTER (ia) AS a, count(*) FILTER (ib) AS b FROM so JOIN s USING (doc) GROUP BY key), x AS (SELECT key, a, b, log2(((b + 0.5) / nb) / ((a + 0.5) / na)) AS r FROM n, t) SELECT key, a, b, round(r, 6) AS log_ratio, CASE WHEN a + b < 2 THEN 'stable' WHEN a = 0 THEN 'appearing' WHEN r >= log2(1.5) THEN 'growing' WHEN r <= -log2(1.5) THEN 'fading' ELSE 'stable' END AS change FROM x")
+def period_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Two overlapping periods; documents of 1998 count in both."""
+    return _round(themes.period_difference(sources(spark, d), documents(spark, d), (1995, 1998), (1998, 2001)), "log_ratio")
+
+
+@_register("k AS (SELECT doc, key AS cluster FROM ty) SELECT cluster, year, count(DISTINCT doc) AS docs FROM k JOIN docs USING (doc) GROUP BY cluster, year")
+def cluster_years(spark: SparkSession, d: str) -> DataFrame:
+    """Yearly documents of a fixed clustering, by part type."""
+    return themes.cluster_years(types(spark, d).select("doc", F.col("key").alias("cluster")), documents(spark, d))
+
+
+@_register("k AS (SELECT doc, key AS cluster FROM ty), s AS (SELECT cluster, count(*) AS size FROM k GROUP BY 1), a AS (SELECT key, count(*) AS al FROM kw GROUP BY 1), n AS (SELECT cluster, key, count(*) AS n FROM kw JOIN k USING (doc) GROUP BY 1, 2), x AS (SELECT cluster, key, n, (n::DOUBLE / size) / (al::DOUBLE / (SELECT count(DISTINCT doc) FROM kw)) AS lift FROM n JOIN s USING (cluster) JOIN a USING (key) WHERE n >= 2 OR size <= 3), y AS (SELECT cluster, key, n, n * ln(1 + lift) * CASE WHEN lift > 1 THEN 1.0 ELSE 0.3 END AS score FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, key) AS rn FROM y) SELECT cluster, key, n, round(score, 6) AS score FROM r WHERE rn <= 2")
+def cluster_names(spark: SparkSession, d: str) -> DataFrame:
+    """The two most distinctive keywords of each cluster, which name it."""
+    return _round(themes.distinctive_keywords(types(spark, d).select("doc", F.col("key").alias("cluster")), keywords(spark, d)), "score")
+
+
+@_register()
+def thematic_evolution(spark: SparkSession, d: str) -> DataFrame:
+    """Themes of three periods."""
+    return themes.thematic_evolution(keywords(spark, d), documents(spark, d), [1998, 2000])[0]
