@@ -59,7 +59,7 @@ class PieceCoder:
         names = list(self.pieces)
         self.ids, self.scores = np.array([self.pieces[p][0] for p in names] + [-1]), np.array([self.pieces[p][1] for p in names] + [self.unknown])
         self.lookup = PieceTable(names)
-        self.chunks, self.several = Generations(150_000), Generations(20_000)
+        self.chunks, self.several = Generations(100_000), Generations(20_000)
 
     def lattice(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """edges[j]: (i, ids, score) of every piece text[i:j], shortest first."""
@@ -183,8 +183,8 @@ class PieceCoder:
 
     def _learn(self, chunks: list[str]) -> None:
         short = [c for c in chunks if len(c) <= 64]
-        for k in range(0, len(short), 20_000):
-            some = short[k : k + 20_000]
+        for k in range(0, len(short), 10_000):
+            some = short[k : k + 10_000]
             self.chunks.young.update(zip(some, self.forward(some)))
         for c in chunks:
             if len(c) > 64:
@@ -236,9 +236,10 @@ def _coder(path: str, n: int) -> PieceCoder:
     return PieceCoder(path, n)
 
 
-def encode(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, n: int = 3, path: str | None = None, decoded: bool = False) -> DataFrame:
     """documents -> doc_id, rank (1 best), score, ids (little-endian unsigned 32-bit): up to n rows a document.
 
+    With `decoded` also text, what decode makes of the ids, in the same pass and by the same worker.
     A null or empty text has one segmentation, without ids. Repeated rows stay, each with its own ranks.
     """
     path = path or tokenizer_path(VOCABULARY)
@@ -246,11 +247,13 @@ def encode(docs: DataFrame, n: int = 3, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, n)
         for batch in batches:
-            for part, texts in slices(batch):
-                rows = [(doc, r, s, ids) for doc, best in zip(part.column(0).to_pylist(), coder.encode(texts)) for r, (s, ids) in enumerate(best, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int32(), pa.float64(), pa.binary()))], ["doc_id", "rank", "score", "ids"])
+            for part, texts in slices(batch, most=1_000_000):
+                rows = [(doc, r, s, ids, *([coder.decode(ids)] if decoded else [])) for doc, best in zip(part.column(0).to_pylist(), coder.encode(texts)) for r, (s, ids) in enumerate(best, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, rank int, score double, ids binary")
+    names = ["doc_id", "rank", "score", "ids", *["text"] * decoded]
+    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.binary(), *[pa.string()] * decoded]
+    return id_and_text(docs).mapInArrow(run, "doc_id long, rank int, score double, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, rank, score, n_pieces, ids_crc32, text_crc32: the three best segmentations of every document, and what they decode to."""
-    decoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), n=3))
+    decoded = pieces.encode(_table(spark, sf_dir, "documents"), n=3, decoded=True)
     return decoded.select("doc_id", "rank", "score", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
