@@ -333,9 +333,9 @@ def centralities(links: DataFrame, most_sources: int = 3000, sampled: int = 600)
 def path_counts(edges: DataFrame, years: DataFrame) -> DataFrame:
     """(citing, cited), (doc, year) -> citing, cited, spc: the share of all paths through the citation graph that use a link.
 
-    Links run from the cited to the citing document, by (year, doc); backward ones are dropped. Paths are counted level
-    by level as array folds would not fit: the graph of citations inside one corpus is small beside its records, so its
-    links are gathered, in logarithms, up to MOST_LINKS.
+    Links run from the cited to the citing document, by (year, doc); backward ones are dropped. Counts are kept as
+    logarithms. Path counting is sequential in the order of documents, so the links, which citation matching has reduced
+    to those inside the corpus, are gathered up to MOST_LINKS; more are refused.
     """
     y1, y2 = years.select(F.col("doc").alias("citing"), F.col("year").alias("y1")), years.select(F.col("doc").alias("cited"), F.col("year").alias("y2"))
     kept = edges.join(y1, "citing").join(y2, "cited").where(F.struct("y2", "cited") < F.struct("y1", "citing"))
