@@ -119,19 +119,24 @@ class PieceCoder:
             best = self.merge(best, self.search(s))
         return [(s, np.array(i, "<u4").tobytes()) for s, i in best]
 
-    def _known(self, chunk: str) -> list[tuple[float, bytes]]:
+    def _known(self, chunk: str, first: bytes | None = None) -> list[tuple[float, bytes]]:
+        """nbest of a chunk; of segmentations that score alike, `first`, which forward has chosen, leads."""
         if self.several.missing({chunk}):
-            self.several.young[chunk] = self.nbest(chunk)
+            best = self.nbest(chunk)
+            if first is not None and best[0][1] != first:
+                best = [(best[0][0], first), *(x for x in best if x[1] != first)][: self.n]
+            self.several.young[chunk] = best
         return self.several.young[chunk]
 
     def forward(self, chunks: list[str]) -> list[tuple[float, float, bytes]]:
         """(best score, what the second best loses, ids of the best) of many chunks at once.
 
         Viterbi forward with the two best scores of every place, a step a letter, all chunks abreast; pieces are looked
-        up by a rolling hash in one table. Places whose best is not unique take their ids from the search.
+        up by a rolling hash in one table. Of equal scores the shorter last piece wins.
         """
-        order = sorted(range(len(chunks)), key=lambda i: -len(chunks[i]))
-        size = np.array([len(chunks[i]) for i in order])
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(-size, kind="stable").tolist()
+        size = size[order]
         begin = np.r_[0, np.cumsum(size + 1)]  # place p of chunk c is at begin[c] + p, p = 0..size
         letters = code_points([chunks[i] for i in order])
         n, most = len(letters), self.longest
@@ -174,7 +179,7 @@ class PieceCoder:
         out: list = [None] * len(chunks)
         gaps, bests = (one[last] - two[last]).tolist(), one[last].tolist()
         for c, i in enumerate(order):
-            if c in odd or gaps[c] == 0:
+            if c in odd:
                 some = self._known(chunks[i])
                 out[i] = (some[0][0], some[0][0] - some[1][0] if len(some) > 1 else np.inf, some[0][1])
             else:
@@ -210,7 +215,7 @@ class PieceCoder:
             gap = np.fromiter([c[1] for c in chunks], float, len(chunks))
             least = np.argsort(gap, kind="stable")[: self.n - 1] if len(gap) <= 64 else self._least(gap)
             choices: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-            several = {k: self._known(names[k]) for k in sorted(least[np.isfinite(gap[least])].tolist())}
+            several = {k: self._known(names[k], parts[k]) for k in sorted(least[np.isfinite(gap[least])].tolist())}
             for k, best in several.items():
                 own = [best[0][0] - s for s, _ in best]
                 choices = sorted((d + own[r], c + ((k, r),) if r else c) for d, c in choices for r in range(len(own)))[: self.n]
