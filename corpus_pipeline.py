@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkmesh.llm import packing, quality, simhash, toxicity
+from inkmesh.llm import near_copies, packing, quality, toxicity
 from inkmesh.plans.staging import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,8 +31,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each group of near-duplicates the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Operator 5's stage: of each group joined by 5-word Jaccard similarities of 0.8 or more the smallest doc_id stays."""
+    return near_copies.keep_one(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.llm.text import id_and_text, slices
@@ -18,19 +18,25 @@ _POSITIONS = np.arange(1, 32)
 _PAIRS = np.array([[0] * 15] + [[(1 << (p - 1)) | (1 << ((p ^ s) - 1)) for p in range(1, 32) if p < p ^ s] for s in range(1, 32)], np.int64)
 
 
-def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """64 bits: bit k is set if it is set in over half the XXH64 of the text's word shingles, repeats included."""
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> list[int]:
+    """XXH64 of the text's word shingles in order, repeats included; one of all words if they are fewer, none without words."""
     import xxhash
 
     words = text.lower().split()  # bytes: lowers A-Z only and splits at space and \t to \r only
     if not words:
-        return 0
+        return []
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        line, digest = b" ".join(words), xxhash.xxh64_intdigest
-        begins = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
-        hashes = [digest(line[a : b - 1], seed) for a, b in zip(begins, begins[shingle:])]
+        return [digest(line, seed)]
+    begins = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
+    return [digest(line[a : b - 1], seed) for a, b in zip(begins, begins[shingle:])]
+
+
+def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """64 bits: bit k is set if it is set in over half the XXH64 of the text's word shingles, repeats included."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         h = np.array(hashes[k : k + 65536], "<u8")
@@ -174,6 +180,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Columns that tell rows apart by doc_id, nulls last, and text.
+ROW_KEY = ("_no_id", "_id", "_text")
+
+
+def text_key(docs: DataFrame) -> Column:
+    """A 64-bit key of the whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def with_row_key(rows: DataFrame) -> DataFrame:
+    """Rows with doc_id and text_key, or else text, and ROW_KEY behind their columns."""
+    text = F.col("text_key") if "text_key" in rows.columns else text_key(rows)
+    own = F.col("doc_id").cast("long")
+    return rows.select("*", own.isNull().alias("_no_id"), F.coalesce(own, F.lit(0).cast("long")).alias("_id"), text.alias("_text"))
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """documents, and doc_id, text_key, group of their rows -> one row a group, with all its columns.
+
+    The row with the smallest doc_id stays, null ids last, of equal ids the smallest text key; rows of one doc_id but of
+    other groups are rows of their own. Of rows that agree in doc_id and text, one stays.
+    """
+    best = with_row_key(rows).groupBy("group").agg(F.min(F.struct(*ROW_KEY)).alias("x")).select("x.*")
+    return with_row_key(docs).join(best, list(ROW_KEY), "left_semi").dropDuplicates(list(ROW_KEY)).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """documents without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
 
