@@ -55,6 +55,7 @@ class Trees:
     value: np.ndarray
     bias: float
     depth: int
+    learned: int = 0  # labelled rows the trees were fitted on
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probabilities for the rows of x: all rows go down all trees at once, one level at a time."""
@@ -113,7 +114,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bin
                 nodes[at] = [j, edges[j][k], a, b, 0]
                 work += [(rows[goes], level + 1, a), (rows[~goes], level + 1, b)]
     t = np.array(nodes, float).reshape(-1, 5)
-    return Trees(np.array(roots, np.int64), t[:, 0].astype(np.int64), t[:, 1], t[:, 2].astype(np.int64), t[:, 3].astype(np.int64), t[:, 4], bias, depth)
+    return Trees(np.array(roots, np.int64), t[:, 0].astype(np.int64), t[:, 1], t[:, 2].astype(np.int64), t[:, 3].astype(np.int64), t[:, 4], bias, depth, n)
 
 
 def _matrix(texts: Sequence[str]) -> np.ndarray:
@@ -155,8 +156,10 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of documents, with all their columns, whose quality reaches the threshold."""
+    """The rows of documents, with all their columns, whose quality reaches the threshold; all rows if no label was learned."""
     model = fit(docs, labels)
+    if not model.learned:
+        return docs
 
     @F.pandas_udf("double")
     def good(texts: pd.Series) -> pd.Series:

@@ -44,16 +44,17 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """documents -> doc_id, fp (the fingerprint's 64 bits as a signed long). A text without words, or null, has fp 0."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """documents -> doc_id, fp (the fingerprint's 64 bits as a signed long), text_key if keyed. A text without words, or null, has fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
                 fp = np.array([simhash(t.encode("utf-8", "surrogatepass"), shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs)
+    return rows.withColumn("text_key", text_key(rows)).mapInArrow(run, "doc_id long, fp long, text_key long") if keyed else rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,6 +165,13 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
 
+def _groups(each: DataFrame) -> DataFrame:
+    """Rows with doc_id and fp -> fp, first (its smallest doc_id), root (the group's smallest fp) of each distinct fp."""
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = connected_components(link_fingerprints(distinct))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """documents -> doc_id, fp, component_id: the smallest doc_id reachable over links of at most three differing bits.
 
@@ -172,9 +180,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     stay. An empty table gives no rows.
     """
     each = stage(fingerprints(docs, shingle), "simhash")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(link_fingerprints(distinct))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _groups(each)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -207,9 +213,6 @@ def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """documents without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
-
-    Of repeated rows with one doc_id, one stays. Rows with a null doc_id belong to no group that could name them and go.
-    """
-    ids = near_duplicates(docs, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """documents without near-duplicates: of each group one row stays, that with the smallest doc_id, null ids last, with all its columns."""
+    each = stage(fingerprints(docs, shingle, keyed=True), "simhash")
+    return keep_rows(docs, each.join(_groups(each), "fp").select("doc_id", "text_key", F.col("root").alias("group")))
