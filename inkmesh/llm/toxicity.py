@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.llm.labelled import held_out, labelled_sample
+from inkmesh.llm.near_copies import near_copies
+from inkmesh.llm.simhash import text_key
 from inkmesh.llm.text import id_and_text, slices
 from inkmesh.plans.staging import stage
 
@@ -91,20 +92,40 @@ def swap_counts(rows: list[np.ndarray], weight: np.ndarray, groups: list[list[in
     return [(a, b, w) for (a, b), w in found.items()]
 
 
-def fit_weights(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, n_words: int, groups: list[list[int]], l1: float = 2e-4, swap: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def swapped_features(words: set[str], groups: Sequence[Sequence[str]]) -> Iterator[tuple[list[str], list[str]]]:
+    """For each swap of a word for another of its group that the text does not hold: the features that come and that go."""
+    own = [(a, b) for g in groups for a in g if a in words for b in g if b not in words]
+    if not own:
+        return
+    forms = Counter(w[:k] for w in words for k in STEMS if len(w) > k)
+    for a, b in dict.fromkeys(own):
+        after = Counter({s: forms[s] for w in (a, b) for s in (w[:k] for k in STEMS)})
+        before = dict(after)
+        after.subtract(a[:k] for k in STEMS if len(a) > k)
+        after.update(b[:k] for k in STEMS if len(b) > k)
+        come = [s + m for s in before for m, n in (("*", 1), ("**", 2)) if before[s] < n <= after[s]]
+        go = [s + m for s in before for m, n in (("*", 1), ("**", 2)) if after[s] < n <= before[s]]
+        yield [b, *come], [a, *go]
+
+
+def fit_weights(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, n_words: int, groups: list[list[int]], l1: float = 2e-4, swap: float = 1.0, rounds: int = 300, swaps: list[tuple[Sequence[int], float]] | None = None) -> tuple[np.ndarray, float]:
     """Minimise mean weighted log loss + l1 |w| + swap * mean over swapped texts of (score change)^2, by FISTA.
 
-    A score is linear in word presence, so replacing a by b changes it by w_b - w_a: the penalty is a quadratic form
-    over the pairs that swaps of the labelled texts produce, and its pull grows with how often those texts occur.
+    A score is linear in the features, so a swap changes it by the weights of those that come less those that go: the
+    penalty is a quadratic form over the swaps of the labelled texts, and its pull grows with how often those occur.
+    swaps holds (feature numbers, weight), k + 1 for a feature k that comes and -k - 1 for one that goes; without it,
+    the words of groups are swapped one for one.
     """
     n = len(rows)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     col = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     v = weight / weight.sum()
-    pairs = swap_counts(rows, v, groups)
-    pa_, pb = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-    pw = np.array([p[2] for p in pairs], float)
-    pw = swap * pw / pw.sum() if len(pairs) else pw
+    if swaps is None:
+        swaps = [((-a - 1, b + 1), w) for a, b, w in swap_counts(rows, v, groups)]
+    signed = np.array([k for ks, _ in swaps for k in ks], np.int64)
+    at, dcol, sign = np.repeat(np.arange(len(swaps)), [len(ks) for ks, _ in swaps]), np.abs(signed) - 1, np.sign(signed).astype(float)
+    pw = np.array([w for _, w in swaps], float)
+    pw = swap * pw / pw.sum() if len(swaps) else pw
     base = float(np.clip((v * label).sum(), 1e-4, 1 - 1e-4))
     w, bias = np.zeros(n_words), float(np.log(base / (1 - base)))
 
@@ -112,8 +133,8 @@ def fit_weights(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, n
         z = bias + np.bincount(row, w[col], n)
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         e = v * (p - label)
-        d = w[pb] - w[pa_]
-        g = np.bincount(col, e[row], n_words) + np.bincount(pb, 2 * pw * d, n_words) - np.bincount(pa_, 2 * pw * d, n_words)
+        d = np.bincount(at, sign * w[dcol], len(pw))
+        g = np.bincount(col, e[row], n_words) + np.bincount(dcol, (2 * pw * d)[at] * sign, n_words)
         return float((v * (np.logaddexp(0, z) - label * z)).sum() + (pw * d * d).sum()), g, float(e.sum())
 
     step, y, yb, t = 1.0, w.copy(), bias, 1.0
@@ -138,25 +159,26 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, most:
     """Fit on at most `most` labelled documents (labels.toxic), never on the held-out fold.
 
     Words and stems are chosen in Spark: of those in `least` (8) texts or more, the `vocabulary` (3000) with the largest
-    difference in frequency between the classes, in standard errors; identity terms join them always. Near copies,
-    found by the smallest hash of their word triples, share the weight of one text. Without labels the model scores 0.5
-    everywhere short of the threshold; with one class only, it scores that class's rate.
+    difference in frequency between the classes, in standard errors; identity terms join them always. Near copies
+    of one label (groups of near_copies) share the weight of one text. Swaps are counted in Spark, each with all the
+    features it changes. Without labels the model scores 0.5 everywhere short of the threshold; with one class only, it
+    scores that class's rate.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                words, sketch = [], []
-                for t in texts:
-                    w = _WORD.findall(t.lower())
-                    words.append(sorted(features_of(set(w))))
-                    sketch.append(min((zlib.crc32(" ".join(x).encode("utf-8", "surrogatepass")) for x in zip(w, w[1:], w[2:])), default=0))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sketch, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "label", "sketch", "words"])
-
-    sample = labelled_sample(docs, labels, "toxic", folds, fold, most).select("doc_id", "text", "label")
-    sample = stage(sample.mapInArrow(features, "doc_id long, label int, sketch long, words array<string>"), "toxicity")
-    copies = sample.groupBy("sketch").count()
-    weighted = sample.join(copies, "sketch").withColumn("v", 1 / F.col("count"))
+                words = [sorted(features_of(words_of(t))) for t in texts]
+                yield pa.RecordBatch.from_arrays([*part.columns[:1], *part.columns[2:], pa.array(words, pa.list_(pa.string()))], ["doc_id", "label", "copies", "words"])
+
+    taken = labelled_sample(docs, labels, "toxic", folds, fold, most).select("doc_id", "text", "label")
+    taken = stage(taken.withColumn("text_key", text_key(taken)), "labelled")
+    groups_of = near_copies(taken).select("text_key", "group").distinct()
+    alike = taken.select("doc_id", "text", "label", "text_key").join(groups_of, "text_key")
+    copies = alike.groupBy("group", "label").agg(F.count(F.lit(1)).alias("copies"))
+    sample = alike.join(copies, ["group", "label"]).select("doc_id", "text", "label", "copies")
+    sample = stage(sample.mapInArrow(features, "doc_id long, label int, copies long, words array<string>"), "toxicity")
+    weighted = sample.withColumn("v", 1 / F.col("copies"))
     total = weighted.agg(F.sum("v").alias("n"), F.sum(F.col("v") * F.col("label")).alias("pos")).first()
     if not total["n"]:
         return ToxicityModel({}, 0.0)
@@ -172,10 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, most:
             hits = [[index[w] for w in row if w in index] for row in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "label", "v", "hits"])
 
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: Counter[tuple[int, ...]] = Counter()
+            for row, v in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
+                for come, go in swapped_features({w for w in row if not w.endswith("*")}, identity):
+                    sums[tuple(sorted([index[x] + 1 for x in come if x in index] + [-index[x] - 1 for x in go if x in index]))] += v
+            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in sums], pa.list_(pa.int32())), pa.array(list(sums.values()), pa.float64())], ["change", "v"])
+
     found: pd.DataFrame = weighted.select("doc_id", "label", "v", "words").mapInArrow(select, "doc_id long, label int, v double, hits array<int>").toPandas().sort_values("doc_id")
     rows = [np.asarray(x, np.int64) for x in found["hits"]]
-    groups = [[index[t] for t in g] for g in identity]
-    w, bias = fit_weights(rows, found["label"].to_numpy(float), found["v"].to_numpy(float), len(index), groups, swap=swap)
+    changes: pd.DataFrame = weighted.select("v", "words").mapInArrow(change, "change array<int>, v double").groupBy("change").agg(F.sum("v").alias("v")).orderBy("change").toPandas()
+    swaps = [(list(map(int, k)), v) for k, v in zip(changes["change"], changes["v"])]
+    w, bias = fit_weights(rows, found["label"].to_numpy(float), found["v"].to_numpy(float), len(index), [], swap=swap, swaps=swaps)
     return ToxicityModel({t: float(w[k]) for t, k in index.items() if w[k]}, bias)
 
 
