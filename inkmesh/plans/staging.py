@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one of our own only where it names none (tests)."""
+    """The shared folder that the session names; on one machine (a local master) a temporary one where it names none."""
     path = spark.conf.get(_DIR, None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError(f"set {_DIR} to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="inkmesh-")
         spark.conf.set(_DIR, path)
     return path.rstrip("/")
