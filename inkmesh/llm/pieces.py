@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame
 
 from inkmesh.llm.lattice import PieceTable, code_points
 from inkmesh.llm.packing import tokenizer_path
-from inkmesh.llm.text import Generations, id_and_text, no_cycles, slices
+from inkmesh.llm.text import Generations, id_and_text, in_slices, no_cycles
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Texts are cut before marks that follow a letter, and around line ends: no piece crosses these places.
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
+#: Chunks up to so many letters go forward abreast; longer ones, if no cut parts them, are searched one by one.
+LONG = 64
+
 Best = list[tuple[float, tuple[int, ...]]]
 
 
@@ -52,72 +55,92 @@ class PieceCoder:
             raise ValueError("a piece has a line end: texts cannot be cut around line ends")
         #: Two letters that no piece holds side by side: every segmentation has a boundary between them.
         self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        self.reach: dict[str, int] = {}
-        for p in self.pieces:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
         self.longest = max(map(len, self.pieces))
         names = list(self.pieces)
         self.ids, self.scores = np.array([self.pieces[p][0] for p in names] + [-1]), np.array([self.pieces[p][1] for p in names] + [self.unknown])
         self.lookup = PieceTable(names)
+        self.by_id = np.zeros(model.get_piece_size())
+        self.by_id[self.ids[:-1]] = self.scores[:-1]
         self.chunks, self.several = Generations(100_000), Generations(20_000)
 
-    def lattice(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """edges[j]: (i, ids, score) of every piece text[i:j], shortest first."""
-        edges: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(len(text) + 1)]
-        get, reach, n = self.pieces.get, self.reach.get, len(text)
-        for i, c in enumerate(text):
-            one = get(c)
-            if one is None:
-                edges[i + 1].append((i, tuple(self.bytes[b] for b in c.encode("utf-8", "surrogatepass")), self.unknown))
-            else:
-                edges[i + 1].append((i, (one[0],), one[1]))
-            for j in range(i + 2, min(n, i + reach(text[i : i + 2], 0)) + 1):
-                p = get(text[i:j])
-                if p is not None:
-                    edges[j].append((i, (p[0],), p[1]))
-        return edges
+    def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, back, id): the pieces that end at place j are first[j] to first[j + 1], shortest first, each with its length; id -1 is an unknown letter."""
+        ends, backs, ids = [], [], []
+        n, step = len(text), 50_000
+        for a in range(0, n, step):  # blocks bound the table of lookups, which is as wide as the longest piece
+            block = text[a : a + step + self.longest]
+            row = self.lookup.rows(code_points([block]), self.longest)[:, : min(step, n - a)]
+            at = np.flatnonzero(row[1] < 0)
+            k, p = np.nonzero(row >= 0)
+            ends.append(np.r_[a + p + k, a + at + 1])
+            backs.append(np.r_[k, np.ones(len(at), np.int64)])
+            ids.append(np.r_[self.ids[row[k, p]], np.full(len(at), -1)])
+        end, back, own = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (ends, backs, ids))
+        turn = np.lexsort((back, end))
+        return np.searchsorted(end[turn], np.arange(n + 2)), back[turn].astype(np.int32), own[turn].astype(np.int32)
 
     def search(self, text: str) -> Best:
         """The n best (score, ids) of a text, best first.
 
         Viterbi forward gives every place's best score from the left. A-star backward from the end, its heuristic that
-        exact score, then pops whole paths in order of score: no path is opened that is worse than those returned. Of
-        equal scores the one opened first comes first.
+        exact score, then pops paths in order of score: no path is opened that is worse than those returned. Of equal
+        scores the path that has come furthest goes first, and a place is passed at most n times, since no more of its
+        paths can be among the n best: so ties, such as those of a run of one letter, cost no more than other text.
+        Paths share what they have in common, by pointers back.
         """
-        edges = self.lattice(text)
-        best = [0.0] * len(edges)
-        for j in range(1, len(edges)):
-            best[j] = max([best[i] + s for i, _, s in edges[j]])
-        heap = [(-best[-1], 0, len(text), 0.0, ())]
+        first, back, own = self._edges(text)
+        bounds, end = first.tolist(), len(text)
+        score = np.where(own >= 0, self.by_id[own], self.unknown)
+        best = [0.0]
+        for a in range(0, end, 50_000):
+            b = min(end, a + 50_000)
+            lo = bounds[a + 1]
+            ks, ss = back[lo : bounds[b + 1]].tolist(), score[lo : bounds[b + 1]].tolist()
+            for j in range(a + 1, b + 1):
+                x, y = bounds[j] - lo, bounds[j + 1] - lo
+                best.append(max([best[j - k] + s for k, s in zip(ks[x:y], ss[x:y])]))
+        heap: list[tuple] = [(-best[end], end, 0, 0.0, None)]
+        passed: dict[int, int] = {}
         out: Best = []
         opened = 0
         while heap and len(out) < self.n:
-            _, _, j, done, ids = heapq.heappop(heap)
+            _, j, _, done, path = heapq.heappop(heap)
             if j == 0:
-                out.append((done, ids))
+                out.append((done, self._path(path, text)))
+                continue
+            passed[j] = passed.get(j, 0) + 1
+            if passed[j] > self.n:
                 continue
-            for i, own, s in edges[j]:
-                opened += 1
-                heapq.heappush(heap, (-(done + s + best[i]), opened, i, done + s, own + ids))
+            for e in range(bounds[j], bounds[j + 1]):
+                i, s = j - int(back[e]), float(score[e])
+                if passed.get(i, 0) < self.n:
+                    opened += 1
+                    heapq.heappush(heap, (-(done + s + best[i]), i, opened, done + s, (int(own[e]), i, path)))
         return out
 
+    def _path(self, path: tuple | None, text: str) -> tuple[int, ...]:
+        ids: list[int] = []
+        while path is not None:
+            piece, place, path = path
+            ids += [piece] if piece >= 0 else [self.bytes[b] for b in text[place].encode("utf-8", "surrogatepass")]
+        return tuple(ids)
+
     def _cut(self, chunk: str) -> list[str]:
         cuts = [0, *(k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.inside), len(chunk)]
         return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def merge(self, left: Best, right: Best) -> Best:
-        """The n best joins of two neighbours' segmentations."""
-        if len(left) == len(right) == 1:
-            return [(left[0][0] + right[0][0], left[0][1] + right[0][1])]
-        sums = sorted((-(a + b), i, j) for i, (a, _) in enumerate(left) for j, (b, _) in enumerate(right) if i + j < self.n)
-        return [(-s, left[i][1] + right[j][1]) for s, i, j in sums[: self.n]]
+    def chunks_of(self, text: str) -> list[str]:
+        """A text's independent chunks: long ones are cut on between letters that no piece joins."""
+        if not text:
+            return []
+        found = _CHUNK.findall((SPACE + text).replace(" ", SPACE))
+        if max(map(len, found)) <= LONG:
+            return found
+        return [s for c in found for s in ([c] if len(c) <= LONG else self._cut(c))]
 
     def nbest(self, chunk: str) -> list[tuple[float, bytes]]:
-        """The n best of one chunk, by the search over each of its independent segments."""
-        best: Best = [(0.0, ())]
-        for s in self._cut(chunk):
-            best = self.merge(best, self.search(s))
-        return [(s, np.array(i, "<u4").tobytes()) for s, i in best]
+        """The n best of one chunk."""
+        return [(s, np.array(i, "<u4").tobytes()) for s, i in self.search(chunk)]
 
     def _known(self, chunk: str, first: bytes | None = None) -> list[tuple[float, bytes]]:
         """nbest of a chunk; of segmentations that score alike, `first`, which forward has chosen, leads."""
@@ -187,19 +210,19 @@ class PieceCoder:
         return out
 
     def _learn(self, chunks: list[str]) -> None:
-        short = [c for c in chunks if len(c) <= 64]
+        short = [c for c in chunks if len(c) <= LONG]
         for k in range(0, len(short), 10_000):
             some = short[k : k + 10_000]
             self.chunks.young.update(zip(some, self.forward(some)))
         for c in chunks:
-            if len(c) > 64:
-                some = self.nbest(c)
+            if len(c) > LONG:
+                some = self._known(c)
                 self.chunks.young[c] = (some[0][0], some[0][0] - some[1][0] if len(some) > 1 else np.inf, some[0][1])
 
     def encode(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
         """Of each text its n best (score, ids as little-endian unsigned 32-bit bytes), best first; of an empty text, one without ids."""
         with no_cycles():
-            cut = [_CHUNK.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
+            cut = list(map(self.chunks_of, texts))
             new = self.chunks.missing(set().union(*cut))
             if new:
                 self._learn(new)
@@ -245,20 +268,20 @@ def encode(docs: DataFrame, n: int = 3, path: str | None = None, decoded: bool =
     """documents -> doc_id, rank (1 best), score, ids (little-endian unsigned 32-bit): up to n rows a document.
 
     With `decoded` also text, what decode makes of the ids, in the same pass and by the same worker.
-    A null or empty text has one segmentation, without ids. Repeated rows stay, each with its own ranks.
+    A null or empty text has one segmentation, without ids. Repeated rows stay, each with its own ranks; equal scores rank
+    in a fixed order, given by the text alone. A text of any length and make, unbroken ones too, takes time and memory in
+    proportion to its length.
     """
     path = path or tokenizer_path(VOCABULARY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         coder = _coder(path, n)
-        for batch in batches:
-            for part, texts in slices(batch, most=1_000_000):
-                rows = [(doc, r, s, ids, *([coder.decode(ids)] if decoded else [])) for doc, best in zip(part.column(0).to_pylist(), coder.encode(texts)) for r, (s, ids) in enumerate(best, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+        rows = [(doc, r, s, ids, *([coder.decode(ids)] if decoded else [])) for doc, best in zip(part.column(0).to_pylist(), coder.encode(texts)) for r, (s, ids) in enumerate(best, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
 
     names = ["doc_id", "rank", "score", "ids", *["text"] * decoded]
     kinds = [pa.int64(), pa.int32(), pa.float64(), pa.binary(), *[pa.string()] * decoded]
-    return id_and_text(docs).mapInArrow(run, "doc_id long, rank int, score double, ids binary" + ", text string" * decoded)
+    return id_and_text(docs).mapInArrow(in_slices(run, most=1_000_000), "doc_id long, rank int, score double, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
