@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.text import id_and_text, slices
+from inkmesh.llm.text import id_and_text, in_slices
 from inkmesh.plans.components import connected_components
+from inkmesh.plans.joins import join_uneven
 from inkmesh.plans.staging import stage
 
 _POSITIONS = np.arange(1, 32)
@@ -18,43 +21,42 @@ _POSITIONS = np.arange(1, 32)
 _PAIRS = np.array([[0] * 15] + [[(1 << (p - 1)) | (1 << ((p ^ s) - 1)) for p in range(1, 32) if p < p ^ s] for s in range(1, 32)], np.int64)
 
 
-def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> list[int]:
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
     """XXH64 of the text's word shingles in order, repeats included; one of all words if they are fewer, none without words."""
     import xxhash
 
     words = text.lower().split()  # bytes: lowers A-Z only and splits at space and \t to \r only
-    if not words:
-        return []
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return [digest(line, seed)]
-    begins = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
-    return [digest(line[a : b - 1], seed) for a, b in zip(begins, begins[shingle:])]
+    line, digest = b" ".join(words), xxhash.xxh64_digest
+    begins = [0, *accumulate([len(w) + 1 for w in words])]
+    spans = zip(begins, begins[shingle:] if len(words) > shingle else begins[-1:] if words else ())
+    return np.frombuffer(b"".join([digest(line[a : b - 1], seed) for a, b in spans]), ">u8").astype(np.uint64)
 
 
-def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """64 bits: bit k is set if it is set in over half the XXH64 of the text's word shingles, repeats included."""
-    hashes = shingle_hashes(text, shingle, seed)
-    if not hashes:
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: bit k is set if it is set in over half of the hashes; 0 without any."""
+    if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
-        h = np.array(hashes[k : k + 65536], "<u8")
+        h = hashes[k : k + 65536].astype("<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """64 bits: bit k is set if it is set in over half the XXH64 of the text's word shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, keyed: bool = False) -> DataFrame:
     """documents -> doc_id, fp (the fingerprint's 64 bits as a signed long), text_key if keyed. A text without words, or null, has fp 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                fp = np.array([simhash(t.encode("utf-8", "surrogatepass"), shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
+    def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        fp = np.array([simhash(t.encode("utf-8", "surrogatepass"), shingle) for t in texts], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
 
     rows = id_and_text(docs)
-    return rows.withColumn("text_key", text_key(rows)).mapInArrow(run, "doc_id long, fp long, text_key long") if keyed else rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.withColumn("text_key", text_key(rows)).mapInArrow(in_slices(run), "doc_id long, fp long, text_key long") if keyed else rows.mapInArrow(in_slices(run), "doc_id long, fp long")
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,21 +124,71 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int)
     return edges
 
 
-def link_fingerprints(fps: DataFrame, most: int = 3, hot: int = 4000) -> DataFrame:
-    """Distinct fingerprints (column fp) -> (a, b): links within `most` (3) bits, enough to connect all that are linked.
+def _parts(mask: int, n: int = 4) -> list[int]:
+    """The bits of a mask dealt to n masks of about equal size."""
+    bits = [k for k in range(32) if mask >> k & 1]
+    return [sum(1 << k for k in bits[j::n]) for j in range(n)]
 
-    Every pair within three bits meets at an anchor. An anchor that is home to more than `hot` fingerprints is dealt
-    out anew: halves that meet there within one bit leave at most three differing bits to the other half's four
-    16-bit blocks, so the pair agrees in one block, and the anchor's rows are spread by block and block value.
+
+def split(key: np.ndarray, fp: np.ndarray, home: np.ndarray, free: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of crowded buckets, four times each, in buckets of their own: (key, fp, home, free, half).
+
+    Members of a bucket that link differ in at most three bits of the half that is not the anchor's, so of any four
+    parts of its free bits they agree in one: each row goes to the bucket of its value in each part, whose bits are
+    free no longer. 32 free bits give parts of eight, the next split parts of six, and so on.
     """
-    if most != 3:
-        raise ValueError("the anchors cover distances of three bits")
+    out: list[tuple[np.ndarray, ...]] = []
+    other = np.where(half == 0, fp.view(np.uint64) >> np.uint64(32), fp.view(np.uint64) & np.uint64(0xFFFFFFFF))
+    for mask in np.unique(free).tolist():
+        at = free == mask
+        for j, part in enumerate(_parts(mask)):
+            word = (other[at] & np.uint64(part)) | (np.uint64(part) << np.uint64(32))
+            mixed = (key[at].view(np.uint64) ^ (word * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+            mixed = (mixed ^ (mixed >> np.uint64(29)) ^ np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15)
+            out.append((mixed.view(np.int64), fp[at], home[at], np.full(int(at.sum()), mask & ~part), half[at]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (key, fp, home, free, half)
+
+
+BUCKETS = "key long, fp long, home boolean, free long, half int"
+
+
+def buckets(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (column fp) at all their anchors."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy()
             i, key, home = anchors(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[i]), pa.array(home)], ["key", "fp", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[i]), pa.array(home), pa.array(np.full(len(i), 0xFFFFFFFF)), pa.array((key >> 31).astype(np.int32))], ["key", "fp", "home", "free", "half"])
+
+    return fps.select("fp").mapInArrow(spread, BUCKETS)
+
+
+def split_crowded(rows: DataFrame, crowded: DataFrame, salts: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(rows of other buckets, rows of crowded ones dealt out anew). A salted join: a bucket of any size is read by many tasks."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = split(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, batch.schema)], batch.schema.names)
+
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int"))
+    keys = crowded.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    few, many = (salted.join(keys, ["key", "salt"], how).select(*rows.columns) for how in ("left_anti", "left_semi"))
+    return few, many.mapInArrow(again, BUCKETS)
+
+
+def link_fingerprints(fps: DataFrame, most: int = 3, hot: int = 1024, splits: int = 2) -> DataFrame:
+    """Distinct fingerprints (column fp) -> (a, b): links within `most` (3) bits, enough to connect all that are linked.
+
+    Every pair within three bits meets at an anchor. Buckets of over `hot` fingerprints are split by eight of the other
+    half's bits (see split), and those that stay crowded by six more, four copies each time. What is crowded still
+    agrees in fourteen bits of one half and lies within two bits of the anchor in the other: such a dense bucket is
+    searched whole, by stars that take in all of a seed's neighbours at once.
+    """
+    if most != 3:
+        raise ValueError("the anchors cover distances of three bits")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
@@ -151,13 +203,19 @@ def link_fingerprints(fps: DataFrame, most: int = 3, hot: int = 4000) -> DataFra
         if len(rest[0]):
             yield _edges(_bucket_links(*rest, most))
 
-    copies = fps.select("fp").mapInArrow(spread, "key long, fp long, home boolean")
-    crowded = copies.where("home").groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
-    blocks = F.array(*[F.shiftrightunsigned("fp", 16 * j).bitwiseAND(0xFFFF) * 4 + j for j in range(4)])
-    marked = copies.join(crowded, "key", "left")
-    dealt = marked.withColumn("sub", F.explode(F.when(F.col("hot"), blocks).otherwise(F.array(F.lit(-1).cast("long")))))
-    dealt = dealt.select(F.when(F.col("sub") < 0, F.col("key")).otherwise(F.xxhash64("key", "sub")).alias("key"), "fp", F.when(F.col("sub") < 0, F.col("home")).otherwise(True).alias("home"))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.select("key", "fp", "home").repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+
+    rows, found = buckets(fps), []
+    for _ in range(splits):
+        crowded = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "crowded")
+        if crowded.isEmpty():
+            break
+        few, many = split_crowded(rows, crowded)
+        found.append(linked(few))
+        rows = stage(many, "split")
+    found.append(linked(rows))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -166,10 +224,10 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _groups(each: DataFrame) -> DataFrame:
-    """Rows with doc_id and fp -> fp, first (its smallest doc_id), root (the group's smallest fp) of each distinct fp."""
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    """Rows with doc_id and fp -> fp, n (its rows), first (its smallest doc_id), root (the group's smallest fp) of each distinct fp."""
+    distinct = stage(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = connected_components(link_fingerprints(distinct))
-    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -177,13 +235,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Equal texts share a fingerprint and are compared once. Null and empty texts have fingerprint zero and link like any
     other. A row with a null doc_id keeps its fingerprint and its group's id (null if no member has one); repeated rows
-    stay. An empty table gives no rows.
+    stay. An empty table gives no rows. Fingerprints of very many rows, and groups of very many fingerprints, are
+    joined by broadcast of at most 10,000 of them (see join_uneven).
     """
     each = stage(fingerprints(docs, shingle), "simhash")
-    rooted = _groups(each)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = stage(_groups(each), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    named = join_uneven(rooted, least, "root", "rows").select("fp", "n", "component_id")
+    return join_uneven(each, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 #: Columns that tell rows apart by doc_id, nulls last, and text.
@@ -215,4 +274,4 @@ def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """documents without near-duplicates: of each group one row stays, that with the smallest doc_id, null ids last, with all its columns."""
     each = stage(fingerprints(docs, shingle, keyed=True), "simhash")
-    return keep_rows(docs, each.join(_groups(each), "fp").select("doc_id", "text_key", F.col("root").alias("group")))
+    return keep_rows(docs, join_uneven(each, _groups(each), "fp", "n").select("doc_id", "text_key", F.col("root").alias("group")))
