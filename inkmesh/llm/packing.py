@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -14,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.text import Generations, id_and_text, no_cycles, slices
+from inkmesh.llm.text import Generations, id_and_text, in_slices, no_cycles
+from inkmesh.plans.staging import stage
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -110,19 +110,16 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0)
     """
     end = int(end_id).to_bytes(4, "little")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        for batch in batches:
-            for part, texts in slices(batch):
-                out: list[tuple] = []
-                for doc, data in zip(part.column(0).to_pylist(), encoder.encode(texts)):
-                    data += end
-                    n = len(data) // 4
-                    out += [(doc, k, s, min(size, n - s), zlib.crc32(data[4 * s : 4 * (s + size)])) for k, s in enumerate(range(0, n, size))]
-                doc, piece, start, length, crc = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for doc, data in zip(part.column(0).to_pylist(), _encoder(path).encode(texts)):
+            data += end
+            n = len(data) // 4
+            out += [(doc, k, s, min(size, n - s), zlib.crc32(data[4 * s : 4 * (s + size)])) for k, s in enumerate(range(0, n, size))]
+        doc, piece, start, length, crc = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_and_text(docs).mapInArrow(run, PIECES)
+    return id_and_text(docs).mapInArrow(in_slices(run), PIECES)
 
 
 class Capacities:
@@ -187,17 +184,21 @@ def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 40_000, rows: in
 
     Pieces are dealt by hash into groups of about group_rows, each packed whole in one task: every group sees the same
     mix of lengths, so it loses at most its last few bins to the whole, under one in a thousand, and groups grow in
-    number, not in size, with the data. `rows` is the number of pieces, if known; else it is counted.
+    number, not in size, with the data. A piece of full size is a sequence of its own and stays out of the groups.
+    `rows` is the number of the other pieces, if known; else it is counted.
     """
-    groups = max(1, math.ceil((pieces.count() if rows is None else rows) / group_rows))
+    full, open_ = pieces.where(F.col("length") == size), pieces.where(F.col("length") != size)
+    groups = max(1, math.ceil((open_.count() if rows is None else rows) / group_rows))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets, _ = best_fit_decreasing(pdf["length"].to_numpy(), size)
         return pdf.drop(columns="g").assign(sequence_id=(int(key[0]) << 40) + bins, offset=offsets)
 
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
-    return dealt.groupBy("g").applyInPandas(run, PLACED)
+    # the row's own number goes into the hash too, so that many equal rows do not fill one group
+    dealt = open_.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+    alone = full.select("*", (F.lit(-1).cast("long") - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return dealt.groupBy("g").applyInPandas(run, PLACED).unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0, group_rows: int = 40_000) -> DataFrame:
@@ -206,5 +207,5 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = 2048, e
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece. Repeated rows are packed
     each on its own, a null doc_id stays null, an empty table gives no rows.
     """
-    # a document gives one piece or more; the count of rows, free from Parquet's footers, sizes the groups well enough
-    return pack(token_pieces(docs, path or tokenizer_path(WORD_VOCABULARY), size, end_id), size, group_rows, rows=docs.count())
+    pieces = stage(token_pieces(docs, path or tokenizer_path(WORD_VOCABULARY), size, end_id), "pieces")
+    return pack(pieces, size, group_rows)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.llm.labelled import held_out, labelled_sample
-from inkmesh.llm.text import id_and_text, slices
+from inkmesh.llm.text import give_back, id_and_text, in_slices, keep_where
 
 STATISTICS = (
     "log_words", "log_chars", "word_length", "distinct_words", "top_word", "distinct_pairs", "same_as_last", "short_words", "longest_word",
@@ -127,26 +127,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, most:
     Only the statistics of those documents reach the driver. Without labels, or with one class, the model is a constant.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                x = _matrix(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c) for c in x.T)], ["doc_id", "label", *STATISTICS])
+    def measure(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c) for c in _matrix(texts).T)], ["doc_id", "label", *STATISTICS])
 
     sample = labelled_sample(docs, labels, "quality", folds, fold, most).select("doc_id", "text", "label")
-    found: pd.DataFrame = sample.mapInArrow(run, "doc_id long, label int, " + ", ".join(f"{c} double" for c in STATISTICS)).toPandas().sort_values(["doc_id", *STATISTICS])
-    return fit_trees(found[list(STATISTICS)].to_numpy(float), found["label"].to_numpy(float))
+    found: pd.DataFrame = sample.mapInArrow(in_slices(measure), "doc_id long, label int, " + ", ".join(f"{c} double" for c in STATISTICS)).toPandas().sort_values(["doc_id", *STATISTICS])
+    fitted = fit_trees(found[list(STATISTICS)].to_numpy(float), found["label"].to_numpy(float))
+    give_back()
+    return fitted
 
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
     """documents -> doc_id, score. Null texts count as empty, whose statistics are zeros; repeated rows stay."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(_matrix(texts)))], ["doc_id", "score"])
+    def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(_matrix(texts)))], ["doc_id", "score"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+    return id_and_text(docs).mapInArrow(in_slices(run), "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.7, most: int = 20_000) -> DataFrame:
@@ -156,13 +153,10 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of documents, with all their columns, whose quality reaches the threshold; all rows if no label was learned."""
-    model = fit(docs, labels)
-    if not model.learned:
-        return docs
-
-    @F.pandas_udf("double")
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_matrix([t or "" for t in texts])))
+    """The rows of documents, with all their columns, whose quality reaches the threshold; all rows if no label was learned.
 
-    return docs.where(good(F.col("text").cast("string")) >= threshold)
+    Null texts count as empty, whose statistics are zeros; each of repeated rows and of rows that tie is judged by its
+    own text, null ids included. An empty table gives an empty table.
+    """
+    model = fit(docs, labels)
+    return keep_where(docs, lambda texts: model.score(_matrix(texts)) >= threshold) if model.learned else docs

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -43,17 +45,20 @@ def no_cycles() -> Iterator[None]:
 
 
 class Generations:
-    """A bounded cache: two generations of entries; what is used again moves to the young one, the rest is forgotten."""
+    """A cache bounded in entries and in letters of its keys: two generations; what is used again moves to the young one, the rest is forgotten."""
 
-    def __init__(self, most: int = 250_000):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, most: int = 100_000, letters: int = 4_000_000):
+        self.most, self.letters, self.size, self.young, self.old = most, letters, 0, {}, {}
 
     def missing(self, keys: set) -> list:
         """Make room, carry what is known over, and return the keys that still need a value."""
         young = self.young
         need = [k for k in keys if k not in young]
-        if len(self.young) + len(need) > self.most:
-            self.old, self.young, need = self.young, {}, list(keys)
+        size = sum(map(len, need))
+        if len(young) + len(need) > self.most or self.size + size > self.letters:
+            self.old, self.young, need = young, {}, list(keys)
+            self.size, size = 0, sum(map(len, need))
+        self.size += size
         young, old = self.young, self.old
         new = []
         for k in need:
@@ -62,3 +67,36 @@ class Generations:
             else:
                 new.append(k)
         return new
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and what one stage freed another cannot use."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def in_slices(make: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: `make` takes each slice of each batch with its texts; freed memory goes back at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, text, most):
+                yield make(part, texts)
+        give_back()
+
+    return run
+
+
+def keep_where(docs: DataFrame, good: Callable[[list[str]], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, for whose texts `good` holds; it sees a slice of texts at a time, null as empty."""
+
+    @F.arrow_udf("boolean")
+    def holds(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            yield pa.concat_arrays([pa.array([], pa.bool_()), *(pa.array(good(texts), pa.bool_()) for _, texts in slices(pa.record_batch([array], ["text"])))])
+        give_back()
+
+    return docs.where(holds(F.col(text).cast("string")))

@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.labelled import held_out, labelled_sample
-from inkmesh.llm.near_copies import near_copies
-from inkmesh.llm.simhash import text_key
-from inkmesh.llm.text import id_and_text, slices
+from inkmesh.llm.labelled import copies, held_out, labelled_sample, sketch
+from inkmesh.llm.near_copies import shingle_hashes
+from inkmesh.llm.text import give_back, id_and_text, in_slices, keep_where
 from inkmesh.plans.staging import stage
 
 # Words that name groups of people; a word may be swapped for any other of its line.
@@ -117,8 +116,9 @@ def fit_weights(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, n
     the words of groups are swapped one for one.
     """
     n = len(rows)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    col = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    ends = np.cumsum([0, *map(len, rows)])
+    cuts = [0, *(int(np.searchsorted(ends, k, "right")) - 1 for k in range(1_000_000, int(ends[-1]), 1_000_000)), n]
+    blocks = [(a, b, np.concatenate([*rows[a:b], np.zeros(0, np.int32)]).astype(np.int32), np.repeat(np.arange(b - a, dtype=np.int32), np.diff(ends[a : b + 1]))) for a, b in zip(cuts, cuts[1:])]
     v = weight / weight.sum()
     if swaps is None:
         swaps = [((-a - 1, b + 1), w) for a, b, w in swap_counts(rows, v, groups)]
@@ -130,11 +130,11 @@ def fit_weights(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, n
     w, bias = np.zeros(n_words), float(np.log(base / (1 - base)))
 
     def loss_and_grad(w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
-        z = bias + np.bincount(row, w[col], n)
+        z = bias + np.concatenate([np.bincount(row, w[col], b - a) for a, b, col, row in blocks])  # a block of texts at a time
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         e = v * (p - label)
         d = np.bincount(at, sign * w[dcol], len(pw))
-        g = np.bincount(col, e[row], n_words) + np.bincount(dcol, (2 * pw * d)[at] * sign, n_words)
+        g = sum(np.bincount(col, e[a:b][row], n_words) for a, b, col, row in blocks) + np.bincount(dcol, (2 * pw * d)[at] * sign, n_words)
         return float((v * (np.logaddexp(0, z) - label * z)).sum() + (pw * d * d).sum()), g, float(e.sum())
 
     step, y, yb, t = 1.0, w.copy(), bias, 1.0
@@ -160,65 +160,68 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, most:
 
     Words and stems are chosen in Spark: of those in `least` (8) texts or more, the `vocabulary` (3000) with the largest
     difference in frequency between the classes, in standard errors; identity terms join them always. Near copies
-    of one label (groups of near_copies) share the weight of one text. Swaps are counted in Spark, each with all the
+    of one label, by wide sketches of the sample (see copies), share the weight of one text. Swaps are counted in Spark, each with all the
     features it changes. Without labels the model scores 0.5 everywhere short of the threshold; with one class only, it
     scores that class's rate.
     """
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                words = [sorted(features_of(words_of(t))) for t in texts]
-                yield pa.RecordBatch.from_arrays([*part.columns[:1], *part.columns[2:], pa.array(words, pa.list_(pa.string()))], ["doc_id", "label", "copies", "words"])
-
-    taken = labelled_sample(docs, labels, "toxic", folds, fold, most).select("doc_id", "text", "label")
-    taken = stage(taken.withColumn("text_key", text_key(taken)), "labelled")
-    groups_of = near_copies(taken).select("text_key", "group").distinct()
-    alike = taken.select("doc_id", "text", "label", "text_key").join(groups_of, "text_key")
-    copies = alike.groupBy("group", "label").agg(F.count(F.lit(1)).alias("copies"))
-    sample = alike.join(copies, ["group", "label"]).select("doc_id", "text", "label", "copies")
-    sample = stage(sample.mapInArrow(features, "doc_id long, label int, copies long, words array<string>"), "toxicity")
-    weighted = sample.withColumn("v", 1 / F.col("copies"))
+    def sketched(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([sketch(shingle_hashes(t, 5)).tobytes() for t in texts], pa.binary())], ["doc_id", "label", "sketch"])
+
+    def count(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        found: dict[str, list[float]] = {}
+        for t, label, v in zip(texts, part.column(1).to_pylist(), part.column(2).to_pylist()):
+            for w in features_of(words_of(t)):
+                c = found.setdefault(w, [0, 0.0, 0.0])
+                c[0] += 1
+                c[1] += v
+                c[2] += v * label
+        df, n, pos = zip(*found.values()) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(df, pa.int64()), pa.array(n, pa.float64()), pa.array(pos, pa.float64())], ["word", "df", "n", "pos"])
+
+    sample = stage(labelled_sample(docs, labels, "toxic", folds, fold, most), "labelled")
+    drawn: pd.DataFrame = sample.select("doc_id", "text", "label").mapInArrow(in_slices(sketched), "doc_id long, label int, sketch binary").toPandas().sort_values("doc_id")
+    sketches = np.frombuffer(b"".join(drawn["sketch"]), np.uint32).reshape(len(drawn), -1)
+    shares = pd.DataFrame({"doc_id": drawn["doc_id"].to_numpy(np.int64), "v": 1.0 / copies(sketches, drawn["label"].to_numpy())})
+    weights = docs.sparkSession.createDataFrame(shares, "doc_id long, v double")  # a row for each of the sample, which `most` bounds
+    weighted = stage(sample.join(F.broadcast(weights), "doc_id").select("doc_id", "label", "v", "text"), "toxicity")
     total = weighted.agg(F.sum("v").alias("n"), F.sum(F.col("v") * F.col("label")).alias("pos")).first()
     if not total["n"]:
         return ToxicityModel({}, 0.0)
     base = total["pos"] / total["n"]
-    each = weighted.select("label", "v", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("v").alias("n"), F.sum(F.col("v") * F.col("label")).alias("pos"))
+    each = weighted.select("text", "label", "v").mapInArrow(in_slices(count), "word string, df long, n double, pos double").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("df", "n", "pos")])
     gap = F.abs(F.col("pos") - base * F.col("n")) / F.sqrt(F.col("n") * (base * (1 - base)) + 1e-9)
     terms = [t for g in identity for t in g]
     best = [r["word"] for r in each.where(F.col("df") >= least).orderBy(gap.desc(), "word").limit(vocabulary).select("word").collect()]
     index = {w: k for k, w in enumerate(dict.fromkeys([*best, *terms]))}
 
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [[index[w] for w in row if w in index] for row in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "label", "v", "hits"])
-
-    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums: Counter[tuple[int, ...]] = Counter()
-            for row, v in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
-                for come, go in swapped_features({w for w in row if not w.endswith("*")}, identity):
-                    sums[tuple(sorted([index[x] + 1 for x in come if x in index] + [-index[x] - 1 for x in go if x in index]))] += v
-            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in sums], pa.list_(pa.int32())), pa.array(list(sums.values()), pa.float64())], ["change", "v"])
-
-    found: pd.DataFrame = weighted.select("doc_id", "label", "v", "words").mapInArrow(select, "doc_id long, label int, v double, hits array<int>").toPandas().sort_values("doc_id")
-    rows = [np.asarray(x, np.int64) for x in found["hits"]]
-    changes: pd.DataFrame = weighted.select("v", "words").mapInArrow(change, "change array<int>, v double").groupBy("change").agg(F.sum("v").alias("v")).orderBy("change").toPandas()
+    def select(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        hits = [sorted(index[w] for w in features_of(words_of(t)) if w in index) for t in texts]
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "label", "v", "hits"])
+
+    def change(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        sums: Counter[tuple[int, ...]] = Counter()
+        for t, v in zip(texts, part.column(1).to_pylist()):
+            for come, go in swapped_features(words_of(t), identity):
+                sums[tuple(sorted([index[x] + 1 for x in come if x in index] + [-index[x] - 1 for x in go if x in index]))] += v
+        return pa.RecordBatch.from_arrays([pa.array([list(k) for k in sums], pa.list_(pa.int32())), pa.array(list(sums.values()), pa.float64())], ["change", "v"])
+
+    found: pd.DataFrame = weighted.select("doc_id", "label", "v", "text").mapInArrow(in_slices(select), "doc_id long, label int, v double, hits array<int>").toPandas().sort_values("doc_id")
+    rows = [np.asarray(x, np.int32) for x in found.pop("hits")]
+    changes: pd.DataFrame = weighted.select("text", "v").mapInArrow(in_slices(change), "change array<int>, v double").groupBy("change").agg(F.sum("v").alias("v")).orderBy("change").toPandas()
     swaps = [(list(map(int, k)), v) for k, v in zip(changes["change"], changes["v"])]
     w, bias = fit_weights(rows, found["label"].to_numpy(float), found["v"].to_numpy(float), len(index), [], swap=swap, swaps=swaps)
+    give_back()
     return ToxicityModel({t: float(w[k]) for t, k in index.items() if w[k]}, bias)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """documents -> doc_id, score (0 to 1). Null and empty texts score the model's bias; repeated rows stay."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(texts))], ["doc_id", "score"])
+    def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(texts))], ["doc_id", "score"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+    return id_and_text(docs).mapInArrow(in_slices(run), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, threshold: float = 0.7, **settings: object) -> DataFrame:
@@ -228,11 +231,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1,
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of documents, with all their columns, whose toxicity is below the threshold."""
-    model = fit(docs, labels)
+    """The rows of documents, with all their columns, whose toxicity is below the threshold.
 
-    @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score([t or "" for t in texts]))
-
-    return docs.where(toxic(F.col("text").cast("string")) < threshold)
+    Null and empty texts score the model's bias, so without labels all rows stay; each of repeated rows and of rows that
+    tie is judged by its own text, null ids included. An empty table gives an empty table.
+    """
+    model = fit(docs, labels)
+    return keep_where(docs, lambda texts: model.score(texts) < threshold)

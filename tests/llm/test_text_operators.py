@@ -105,7 +105,7 @@ def test_anchor_links_lose_none(spark):
         for g in fps[i + 1 :][np.bitwise_count(fps[i + 1 :] ^ f) <= 3]:
             root[find(int(g))] = find(int(f))
     frame = spark.createDataFrame([(int(f.view(np.int64)),) for f in fps], "fp long")
-    for hot in (4000, 3):
+    for hot in (1024, 3):
         edges = [(r.a, r.b) for r in simhash.link_fingerprints(frame, hot=hot).collect()]
         assert all(bin((a ^ b) % (1 << 64)).count("1") <= 3 for a, b in edges)
         own = {int(f): int(f) for f in fps}
@@ -121,6 +121,32 @@ def test_anchor_links_lose_none(spark):
         assert groups(own, top) == groups(root, find)
 
 
+def test_crowded_anchors_are_split(spark):
+    rng = np.random.default_rng(1)
+    home = np.uint64(0)  # the zero codeword: these all meet at one anchor of the lower half
+    low = np.array([sum(1 << int(k) for k in rng.choice(31, 2, replace=False)) for _ in range(20_000)], np.uint64)
+    fps = np.unique(home ^ low ^ (rng.integers(0, 1 << 32, 20_000, dtype=np.uint64) << np.uint64(32))).view(np.int64)
+    key, one, held = np.zeros(len(fps), np.int64), np.ones(len(fps), bool), np.full(len(fps), 0xFFFFFFFF)
+    again = simhash.split(key, fps, one, held, np.zeros(len(fps), np.int32))
+    assert len(again[0]) == 4 * len(fps) and np.unique(again[0], return_counts=True)[1].max() < 1000
+    third = simhash.split(*again)
+    assert len(third[0]) == 16 * len(fps) and np.unique(third[0], return_counts=True)[1].max() < 40
+    frame = spark.createDataFrame([(int(f),) for f in fps[:6000]], "fp long")
+    want = {(int(a), int(b)) for k, a in enumerate(fps[:6000]) for b in fps[:6000][np.bitwise_count((fps[:6000] ^ a).view(np.uint64)) <= 3] if a < b}
+    root = {int(f): int(f) for f in fps[:6000]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    got = [(r.a, r.b) for r in simhash.link_fingerprints(frame).collect()]
+    assert set(got) <= want
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in want)
+
+
 def test_fingerprints(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     x = fingerprint.edited_fingerprints(docs).toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
@@ -205,12 +231,16 @@ def test_segmentations(spark):
     encoded = coder.encode(some)
     assert all(coder.decode(ids) == t for t, best in zip(some, encoded) for _, ids in best)
     assert all(len({i for _, i in best}) == len(best) and [s for s, _ in best] == sorted([s for s, _ in best], reverse=True) for best in encoded)
-    for t in [x[:13] for x in some if x][:150]:
-        edges = coder.lattice(pieces.SPACE + t.replace(" ", pieces.SPACE))
-        every = {0: [0.0]}
-        for j in range(1, len(edges)):
-            every[j] = sorted((s + p for i, _, p in edges[j] for s in every[i]), reverse=True)
-        assert [s for s, _ in coder.encode([t])[0]] == every[len(edges) - 1][:3]
+    rng = random.Random(5)
+    runs = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 200))) for letters in ("a", "ab", "-=", "_", "=", "the ", "éx中", "ab1 \n") * 12]
+    for t in [x[:40] for x in some if x][:150] + runs:
+        marked = pieces.SPACE + t.replace(" ", pieces.SPACE)
+        every = [[0.0]]  # the three best scores of every place, by plain dynamic programming over all pieces
+        for j in range(1, len(marked) + 1):
+            known = [(i, coder.pieces.get(marked[i:j], (0, coder.unknown if i == j - 1 else None))[1]) for i in range(max(0, j - coder.longest), j)]
+            every.append(sorted((v + p for i, p in known if p is not None for v in every[i]), reverse=True)[:3])
+        best = coder.encode([t])[0]
+        assert np.allclose([s for s, _ in best], every[-1]) and len({i for _, i in best}) == len(best) and all(coder.decode(i) == t for _, i in best)
     x = queries.op10_sentencepiece_nbest(spark, DATA).toPandas()
     docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
     crc = {d: zlib.crc32(t.encode()) for d, t in zip(docs.doc_id, docs.text)}
