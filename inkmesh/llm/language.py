@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache, cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -15,29 +19,43 @@ from pyspark.sql import functions as F
 from inkmesh.llm.labelled import held_out
 from inkmesh.llm.lattice import PieceTable, code_points
 from inkmesh.llm.packing import tokenizer_path
-from inkmesh.llm.text import Generations, id_and_text, no_cycles, slices
+from inkmesh.llm.text import Generations, id_and_text, in_slices, no_cycles
 from inkmesh.plans.staging import stage
 
 VOCABULARY = "piece_bpe_32k.model"
-_WORD = re.compile(r"[^\W\d_]+")
-LONGEST_PIECE, LONGEST_WORD = 8, 32
+#: Words up to so many letters are summed many at once; in longer ones probabilities are rescaled on the way.
+SHORT = 24
+
+
+@cache
+def _word() -> re.Pattern[str]:
+    """A letter, and the letters and combining marks behind it (Unicode categories L and M)."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
+
+    def ranges(of: str) -> str:
+        out, c = [], 0
+        for kind, run in groupby(kinds, lambda k: k in of):
+            n = sum(1 for _ in run)
+            if kind:
+                out.append(f"\\U{c:08x}-\\U{c + n - 1:08x}")
+            c += n
+        return "".join(out)
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters, each with the vocabulary's mark of a word's beginning; long ones in parts of 32."""
-    found = ["▁" + w for w in _WORD.findall(text.lower())]
-    if max(map(len, found), default=0) > LONGEST_WORD:
-        found = [w[k : k + LONGEST_WORD] for w in found for k in range(0, len(w), LONGEST_WORD)]
-    return found
+    """Lower-case runs of letters and their marks, each whole, with the vocabulary's mark of a word's beginning."""
+    return ["▁" + w for w in _word().findall(text.lower())]
 
 
 def letter_pieces(path: str) -> list[str]:
-    """The vocabulary's lower-case pieces of letters, at most LONGEST_PIECE long, with or without the mark, in its order."""
+    """The vocabulary's lower-case pieces of letters and marks, with or without the mark of a word's beginning, in its order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return [p for p in pieces if len(p) <= LONGEST_PIECE and p == p.lower() and (p == "▁" or p.removeprefix("▁").isalpha())]
+    return [p for p in pieces if p == p.lower() and (p == "▁" or all(unicodedata.category(c)[0] in "LM" for c in p.removeprefix("▁")) and p.removeprefix("▁"))]
 
 
 @dataclass
@@ -48,19 +66,23 @@ class PieceModel:
     pieces: list[str]
     p: np.ndarray
     _table: PieceTable | None = field(default=None, repr=False)
-    _words: Generations = field(default_factory=lambda: Generations(200_000), repr=False)
+    _words: Generations | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_table": None, "_words": None}
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.pieces), default=1)
+
     def lattice(self, words: list[str]) -> np.ndarray:
         """For words of one length n: piece numbers by word, end 1..n and piece length 1..K; absent ones point at a row of zeros."""
         if self._table is None:
             self._table = PieceTable(self.pieces)
-        n, none, unknown = len(words[0]), len(self.pieces) + 1, len(self.pieces)
-        rows = self._table.rows(code_points(words), LONGEST_PIECE).reshape(-1, len(words), n + 1)
-        ids = np.full((len(words), n, LONGEST_PIECE), none, np.int32)
-        for k in range(1, min(n, LONGEST_PIECE) + 1):
+        n, none, unknown, most = len(words[0]), len(self.pieces) + 1, len(self.pieces), min(self.longest, len(words[0]))
+        rows = self._table.rows(code_points(words), most).reshape(-1, len(words), n + 1)
+        ids = np.full((len(words), n, most), none, np.int32)
+        for k in range(1, most + 1):
             found = rows[k, :, : n - k + 1]
             ids[:, k - 1 :, k - 1] = np.where(found >= 0, found, unknown if k == 1 else none)
         return ids
@@ -75,16 +97,41 @@ class PieceModel:
             alpha[:, j] = (alpha[:, j - k : j][:, ::-1] * self.p[ids[:, j - 1, :k]]).sum(1)
         return alpha
 
+    def long_score(self, word: str) -> np.ndarray:
+        """log p(word | language) of a word of any length: only the last places are kept, and rescaled as they shrink."""
+        logs, step = np.zeros(len(self.langs)), 50_000
+        window = np.zeros((self.longest, len(self.langs)))  # alpha of the last places, the latest first
+        window[0] = 1
+        for a in range(0, len(word), step):
+            lead = min(a, self.longest - 1)  # pieces that end here may begin in the block before
+            ids = self.lattice([word[a - lead : a + step]])[0, lead:]
+            for row in ids:
+                new = (window[: len(row)] * self.p[row]).sum(0)
+                window[1:] = window[:-1]
+                window[0] = new
+                if new.min() < 1e-100:
+                    top = np.maximum(window.max(0), 1e-300)
+                    window /= top
+                    logs += np.log(top)
+        return logs + np.log(window[0])
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log p(word | language), a row each, all segmentations summed."""
         out = np.zeros((len(words), len(self.langs)))
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
-        for at in by_length.values():
+        for n, at in by_length.items():
+            if n > SHORT:
+                for i in at:
+                    out[i] = self.long_score(words[i])
+                continue
             for k in range(0, len(at), 4000):
                 some = at[k : k + 4000]
-                out[some] = np.log(self.forward(self.lattice([words[i] for i in some]))[:, -1] + 1e-300)
+                p = self.forward(self.lattice([words[i] for i in some]))[:, -1]
+                out[some] = np.log(np.maximum(p, 1e-300))
+                for i in np.flatnonzero(p.min(1, initial=1) < 1e-290).tolist():
+                    out[some[i]] = self.long_score(words[some[i]])
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -125,14 +172,14 @@ def _expected(model: PieceModel, words: list[str], lang: list[int], count: list[
             alpha, beta = np.zeros((len(some), n + 1)), np.zeros((len(some), n + 1))
             alpha[:, 0] = beta[:, n] = 1
             for j in range(1, n + 1):
-                k = min(j, LONGEST_PIECE)
+                k = min(j, ids.shape[2])
                 alpha[:, j] = (alpha[:, j - k : j][:, ::-1] * p[:, j - 1, :k]).sum(1)
             for j in range(n, 0, -1):
-                for k in range(1, min(j, LONGEST_PIECE) + 1):
+                for k in range(1, min(j, ids.shape[2]) + 1):
                     beta[:, j - k] += p[:, j - 1, k - 1] * beta[:, j]
             z = np.maximum(alpha[:, n], 1e-300)
             for j in range(1, n + 1):
-                k = min(j, LONGEST_PIECE)
+                k = min(j, ids.shape[2])
                 e = alpha[:, j - k : j][:, ::-1] * p[:, j - 1, :k] * (c * beta[:, j] / z)[:, None]
                 np.add.at(total, (ids[:, j - 1, :k], l[:, None]), e)
     return total
@@ -146,36 +193,32 @@ def _probabilities(counts: np.ndarray, floor: float) -> np.ndarray:
     return c / c.sum(0)
 
 
-def fit(docs: DataFrame, path: str | None = None, folds: int = 3, fold: int = 1, most: int = 1500, most_langs: int = 200, rounds: int = 2) -> PieceModel:
+def fit(docs: DataFrame, path: str | None = None, folds: int = 3, fold: int = 1, most: int = 1500, rounds: int = 2) -> PieceModel:
     """Fit on about `most` (1500) documents of each language outside the held-out fold, chosen by hash of doc_id.
 
-    Languages are the non-null values of lang, at most most_langs, by frequency. Words are counted in Spark; every
-    round of expectation and maximisation runs over the counted words in Spark and returns one number a piece and
-    language, whatever the size of the corpus.
+    Every non-null value of lang is learned; their names and numbers of documents reach the driver, a row a language.
+    Words are counted in Spark; every round of expectation and maximisation runs over the counted words in Spark and
+    returns one number a piece and language, whatever the size of the corpus. For counting alone, words of over SHORT
+    letters are learned in parts of SHORT.
     """
     pieces = letter_pieces(path or tokenizer_path(VOCABULARY))
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     taught = taught.where(~held_out(F.col("doc_id"), folds, fold))
-    sizes = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    langs = sorted(r["lang"] for r in sizes)
+    sizes = taught.groupBy("lang").count()
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not langs:
         return PieceModel([], pieces, np.zeros((len(pieces) + 2, 0)))
     number = {x: k for k, x in enumerate(langs)}
-    share = {r["lang"]: min(1.0, most / r["count"]) for r in sizes}
-    keep = F.lit(False)
-    for x, s in share.items():
-        keep = F.when(F.col("lang") == x, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(s * (1 << 30))).otherwise(keep)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                found: dict[str, Counter] = {}
-                for x, t in zip(part.column(1).to_pylist(), texts):
-                    found.setdefault(x, Counter()).update(words_of(t))
-                rows = [(number[x], w, float(n)) for x, c in found.items() for w, n in c.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.float64()))], ["l", "w", "n"])
-
-    counted = taught.where(keep).select("doc_id", "lang", "text").mapInArrow(count, "l int, w string, n double")
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(most) / F.col("count") * F.lit(1 << 30)
+
+    def count(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        found: dict[str, Counter] = {}
+        for x, t in zip(part.column(1).to_pylist(), texts):
+            found.setdefault(x, Counter()).update(w[k : k + SHORT] for w in words_of(t) for k in range(0, len(w), SHORT))
+        rows = [(number[x], w, float(n)) for x, c in found.items() for w, n in c.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.float64()))], ["l", "w", "n"])
+
+    counted = taught.join(sizes, "lang").where(chosen).select("doc_id", "lang", "text").mapInArrow(in_slices(count), "l int, w string, n double")
     counted = stage(counted.groupBy("l", "w").agg(F.sum("n").alias("n")), "words")
     p = _probabilities(np.ones((len(pieces) + 2, len(langs))), 1.0)
     for _ in range(rounds):
@@ -205,12 +248,10 @@ def languages(docs: DataFrame, path: str | None = None, folds: int = 3, fold: in
     """
     model = fit(docs, path, folds, fold, **settings)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                with no_cycles():
-                    langs, scores = model.predict(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+    def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        with no_cycles():
+            langs, scores = model.predict(texts)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    found = id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = id_and_text(docs).mapInArrow(in_slices(run), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "lang_pred", "score")

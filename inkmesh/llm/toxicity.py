@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.labelled import copies, held_out, labelled_sample, sketch
+from inkmesh.llm.labelled import SKETCH, copies, held_out, labelled_sample, sketch
 from inkmesh.llm.near_copies import shingle_hashes
 from inkmesh.llm.text import give_back, id_and_text, in_slices, keep_where
 from inkmesh.plans.staging import stage
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, most:
 
     sample = stage(labelled_sample(docs, labels, "toxic", folds, fold, most), "labelled")
     drawn: pd.DataFrame = sample.select("doc_id", "text", "label").mapInArrow(in_slices(sketched), "doc_id long, label int, sketch binary").toPandas().sort_values("doc_id")
-    sketches = np.frombuffer(b"".join(drawn["sketch"]), np.uint32).reshape(len(drawn), -1)
+    sketches = np.frombuffer(b"".join(drawn["sketch"]), np.uint32).reshape(len(drawn), SKETCH)
     shares = pd.DataFrame({"doc_id": drawn["doc_id"].to_numpy(np.int64), "v": 1.0 / copies(sketches, drawn["label"].to_numpy())})
     weights = docs.sparkSession.createDataFrame(shares, "doc_id long, v double")  # a row for each of the sample, which `most` bounds
     weighted = stage(sample.join(F.broadcast(weights), "doc_id").select("doc_id", "label", "v", "text"), "toxicity")
