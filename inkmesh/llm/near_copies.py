@@ -70,6 +70,11 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def alike(n: int, x: bytes, m: int, y: bytes, threshold: float) -> bool:
+    """Whether sets of n and m elements with these bitmaps can reach the similarity: they then differ in at most (n + m)(1 - t)/(1 + t) elements."""
+    return least_difference(x, y) <= (n + m) * (1 - threshold) / (1 + threshold) + 1e-6
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), F.col("text").cast("string").alias("text"))
 
@@ -152,20 +157,29 @@ def bucket_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarr
 CANDIDATES = "token long, a long, b long, n int, pos int"
 
 
-def _candidates(a: np.ndarray, b: np.ndarray, rest: tuple[np.ndarray, ...] = ()) -> pa.RecordBatch:
-    """Distinct pairs, and behind them rows (token, node, n, pos) to be compared further, whose b is null."""
+def _candidates(a: np.ndarray, b: np.ndarray, rest: tuple[np.ndarray, ...] = (), sets: tuple[np.ndarray, ...] = (), threshold: float = 0.8) -> pa.RecordBatch:
+    """Distinct pairs, and behind them rows (token, node, n, pos) to be compared further, whose b is null.
+
+    With sets (node, n, bits) only pairs that their bitmaps do not rule out.
+    """
     both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    if sets and len(both):
+        known = {x: (n, bits) for x, n, bits in zip(*(c.tolist() for c in sets))}
+        both = both[[alike(*known[x], *known[y], threshold) for x, y in both.tolist()]]
     token, node, n, pos = rest or (np.zeros(0, np.int64),) * 4
     none = lambda x, kind: pa.concat_arrays([pa.nulls(len(both), kind), pa.array(x, kind)])
     return pa.RecordBatch.from_arrays([none(token, pa.int64()), pa.array(np.r_[both[:, 0], node]), pa.concat_arrays([pa.array(both[:, 1]), pa.nulls(len(node), pa.int64())]), none(n, pa.int32()), none(pos, pa.int32())], ["token", "a", "b", "n", "pos"])
 
 
 def _compare(rows: DataFrame, lo: int, hi: int, threshold: float) -> DataFrame:
-    """token, node, n, pos, root -> a, b of candidates; and token, a, n, pos, with b null, of rows to be compared further."""
+    """token, node, n, pos, root, bits or not -> a, b of candidates; and token, a, n, pos, with b null, of rows to be compared further.
+
+    With bits, pairs are held against their bitmaps here, so that large buckets give no pairs but promising ones.
+    """
 
-    def emit(key, node, n, pos, root) -> pa.RecordBatch:
+    def emit(key, node, n, pos, root, *bits) -> pa.RecordBatch:
         a, b, rest = bucket_pairs(key, node, n, pos, root, lo, hi, threshold)
-        return _candidates(a, b, (key[rest], node[rest], n[rest], pos[rest]))
+        return _candidates(a, b, (key[rest], node[rest], n[rest], pos[rest]), (node, n, *bits) if bits else (), threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # the last bucket may go on in the next batch
@@ -190,12 +204,12 @@ def _compare(rows: DataFrame, lo: int, hi: int, threshold: float) -> DataFrame:
             yield emit(*(np.concatenate(c) for c in zip(*held)))
         give_back()
 
-    dealt = rows.select("token", "node", "n", "pos", "root").repartition("token").sortWithinPartitions("token", "node")
+    dealt = rows.select("token", "node", "n", "pos", "root", *[c for c in rows.columns if c == "bits"]).repartition("token").sortWithinPartitions("token", "node")
     return stage(dealt.mapInArrow(run, CANDIDATES), "candidates")
 
 
 def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
-    """Crowded buckets, token, node, n, pos, root -> a, b of candidates between different roots.
+    """Crowded buckets, token, node, n, pos, root, bits -> a, b of candidates between different roots.
 
     A pair of different roots has a member outside the bucket's most frequent root. Those members, cut into parts of
     about _TILE, meet all members, cut likewise: a task holds one part of each, however large the bucket.
@@ -207,8 +221,8 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
     told = rows.join(facts, "token")
     mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    few = told.where("root <> top").select("token", "node", "n", "pos", "root", mine("of_few").alias("i"), upto("of_all").alias("j"), F.lit(0).alias("side"))
-    every = told.select("token", "node", "n", "pos", "root", upto("of_few").alias("i"), mine("of_all").alias("j"), F.lit(1).alias("side"))
+    few = told.where("root <> top").select("token", "node", "n", "pos", "root", "bits", mine("of_few").alias("i"), upto("of_all").alias("j"), F.lit(0).alias("side"))
+    every = told.select("token", "node", "n", "pos", "root", "bits", upto("of_few").alias("i"), mine("of_all").alias("j"), F.lit(1).alias("side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -224,7 +238,7 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield from meet(*held)
 
-    def meet(key, side, node, n, pos, root) -> Iterator[pa.RecordBatch]:
+    def meet(key, side, node, n, pos, root, bits) -> Iterator[pa.RecordBatch]:
         cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)].tolist()
         for lo, hi in zip(cuts, cuts[1:]):
             mid = lo + int(np.searchsorted(side[lo:hi], 1))
@@ -234,19 +248,18 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
                 x, y = np.nonzero(ok)
                 a, b = node[i[x, 0]], node[j[0, y]]
                 if len(a):
-                    yield _candidates(np.minimum(a, b), np.maximum(a, b))
+                    yield _candidates(np.minimum(a, b), np.maximum(a, b), sets=(node[lo:hi], n[lo:hi], bits[lo:hi]), threshold=threshold)
 
-    dealt = few.unionByName(every).select(F.xxhash64("token", "i", "j").alias("key"), "side", "node", "n", "pos", "root").repartition("key").sortWithinPartitions("key", "side")
+    dealt = few.unionByName(every).select(F.xxhash64("token", "i", "j").alias("key"), "side", "node", "n", "pos", "root", "bits").repartition("key").sortWithinPartitions("key", "side")
     return stage(dealt.mapInArrow(run, CANDIDATES).select("a", "b").distinct(), "candidates")
 
 
 def _promising(pairs: DataFrame, each: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that their bitmaps do not rule out, with nodes' sizes: sets of that similarity differ in at most (n + m)(1 - t)/(1 + t) elements."""
+    """The pairs that their bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = (np.asarray(batch.column(2)) + np.asarray(batch.column(4))) * (1 - threshold) / (1 + threshold) + 1e-6
-            keep = [least_difference(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(3), batch.column(5), most)]
+            keep = [alike(*row, threshold) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     nodes = each.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
@@ -317,7 +330,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> Da
 
     each = stage(_keyed(docs).mapInArrow(in_slices(begin), "doc_id long, text_key long, node long, n int, fp long, bits binary, prefix array<long>, crowded array<long>"), "prefixes")
     links = _linked(_simhash_pairs(each), docs, each, shingle, threshold)
-    roots = stage(connected_components(links, stop_after=1), "roots")
+    roots = stage(connected_components(links, stop_after=3), "roots")
 
     def marked(rows: DataFrame) -> DataFrame:
         return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -327,20 +340,21 @@ def near_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> Da
     more, rest = out.where("b is not null").select("a", "b").distinct(), out.where("b is null").drop("b").withColumnRenamed("a", "node")
     if not more.isEmpty():
         links = links.unionByName(_linked(more, docs, each, shingle, threshold))
-        roots = stage(connected_components(links, stop_after=1), "roots")
+        roots = stage(connected_components(links, stop_after=3), "roots")
+    bits_of = each.groupBy("node").agg(F.first("bits").alias("bits"))
     sizes = stage(rest.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > _CROWDED).select("token"), "sizes")
     large, rest = rest.join(sizes, "token", "left_semi"), rest.join(sizes, "token", "left_anti")
     for lo, hi in _ROUNDS:
-        out = _compare(marked(rest), lo, hi, threshold)
+        out = _compare(marked(rest).join(bits_of, "node"), lo, hi, threshold)
         more, rest = out.where("b is not null").select("a", "b").distinct(), out.where("b is null").drop("b").withColumnRenamed("a", "node")
         if not more.isEmpty():
             links = links.unionByName(_linked(more, docs, each, shingle, threshold))
-            roots = stage(connected_components(links, stop_after=1), "roots")
+            roots = stage(connected_components(links, stop_after=3), "roots")
         if rest.isEmpty():
             break
     crowded = each.where(F.size("crowded") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first(F.size("prefix")).alias("k"), F.first("crowded").alias("crowded"))
     crowded = crowded.select("node", "n", "k", F.posexplode("crowded").alias("p", "token")).select("token", "node", "n", (F.col("p") + F.col("k")).alias("pos"))
-    crowded = stage(marked(crowded.unionByName(large.select("token", "node", "n", "pos").distinct())), "crowded")
+    crowded = stage(marked(crowded.unionByName(large.select("token", "node", "n", "pos").distinct())).join(bits_of, "node"), "crowded")
     if not crowded.isEmpty():
         links = links.unionByName(_linked(_tiles(crowded, threshold), docs, each, shingle, threshold))
     roots = stage(connected_components(links), "roots")

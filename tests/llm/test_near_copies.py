@@ -59,3 +59,14 @@ def test_order_of_prefixes_changes_no_group(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "common_shingles", lambda d, k: once(d, k, one_in=1, least=3))
     got = {r.doc_id: r.group for r in near_copies.near_copies(docs).collect()}
     assert len({(root[i], got[i]) for i in got}) == len(set(root)) == len(set(got.values()))
+
+
+def test_crowded_buckets_are_cut_into_tiles_and_lose_no_link(spark, monkeypatch):
+    texts = edited_texts(3)
+    root = groups_by_hand(texts)
+    for name, value in (("_CROWDED", 10), ("_ROUNDS", ((1, 3), (3, 10))), ("_FULL", 4), ("_TILE", 4)):
+        monkeypatch.setattr(near_copies, name, value)
+    once = near_copies.common_shingles
+    monkeypatch.setattr(near_copies, "common_shingles", lambda d, k: once(d, k, one_in=1, least=3))
+    got = {r.doc_id: r.group for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len({(root[i], got[i]) for i in got}) == len(set(root)) == len(set(got.values()))
