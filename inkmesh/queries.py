@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.functions import text as X
 from inkmesh.functions.terms import similarity_token_rows
-from inkmesh.operators import cleaning, graph, match, network, similarity, stats, themes
+from inkmesh.operators import cleaning, graph, match, network, reports, similarity, stats, themes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -458,3 +458,92 @@ def cluster_names(spark: SparkSession, d: str) -> DataFrame:
 def thematic_evolution(spark: SparkSession, d: str) -> DataFrame:
     """Themes of three periods."""
     return themes.thematic_evolution(keywords(spark, d), documents(spark, d), [1998, 2000])[0]
+
+
+_NODES = "nodes AS (SELECT key, count(*) AS weight, CAST(sum(cites) AS BIGINT) AS cites, CAST(substr(key, 7, 1) AS INT) AS cluster FROM kw JOIN docs USING (doc) GROUP BY key)"
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Brands as items of a map, in clusters by their first digit."""
+    each = keywords(spark, d).join(documents(spark, d), "doc").groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.sum("cites").cast("long").alias("cites"))
+    return each.withColumn("cluster", F.substring("key", 7, 1).cast("int"))
+
+
+@_register(f"{_NODES} SELECT * FROM nodes WHERE cluster = 2 ORDER BY cites DESC, key LIMIT 4")
+def top_items_of_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """A top-4 report."""
+    return reports.top_items(_nodes(spark, d), "cites", 4, cluster=2)
+
+
+@_register(f"{_NODES} SELECT * FROM nodes WHERE weight >= 10 ORDER BY weight DESC, key LIMIT 20")
+def item_table(spark: SparkSession, d: str) -> DataFrame:
+    """A top-20 report."""
+    return reports.top_items(_nodes(spark, d), "weight", 20, least=10)
+
+
+@_register(_PAIRS.format("co") + " SELECT * FROM pairs ORDER BY w DESC, a, b LIMIT 150")
+def country_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The 150 strongest pairs of countries."""
+    return reports.top_pairs(network.cooccurrence(countries(spark, d)))
+
+
+@_register(_PAIRS.format("kw") + " SELECT * FROM pairs WHERE w >= 2 ORDER BY w DESC, a, b LIMIT 100")
+def links_to_draw(spark: SparkSession, d: str) -> DataFrame:
+    """The 100 heaviest links of strength 2 or more."""
+    return reports.links_to_draw(network.cooccurrence(keywords(spark, d)), 2.0, 100)
+
+
+@_register("SELECT ref, count(*) AS citing FROM rf GROUP BY ref HAVING count(*) >= 2 ORDER BY citing DESC, ref LIMIT 400")
+def cited_references(spark: SparkSession, d: str) -> DataFrame:
+    """The 400 most cited references of those cited twice or more."""
+    return reports.cited_references(references(spark, d))
+
+
+@_register(_PAIRS.format("kw") + f", {_NODES}, best AS (SELECT *, row_number() OVER (ORDER BY cluster, weight DESC, key) - 1 AS place FROM (SELECT * FROM nodes ORDER BY weight DESC, key LIMIT 12)) SELECT a, b, w, CAST(x.place AS INT) AS place_a, CAST(y.place AS INT) AS place_b FROM pairs JOIN best x ON x.key = a JOIN best y ON y.key = b")
+def item_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix of the twelve heaviest items."""
+    return reports.matrix(_nodes(spark, d), network.cooccurrence(keywords(spark, d)), 12)
+
+
+@_register("se AS (SELECT doc FROM docs WHERE cites >= 30) SELECT DISTINCT cited AS doc, 'references' AS by FROM ci WHERE citing IN (SELECT doc FROM se) UNION SELECT DISTINCT citing, 'citing' FROM ci WHERE cited IN (SELECT doc FROM se)")
+def seed_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """What the most cited documents cite, and what cites them."""
+    return reports.expand_seeds(citations(spark, d), documents(spark, d).where("cites >= 30").select("doc"))
+
+
+@_register("y AS (SELECT 'year' AS what, CAST(year AS VARCHAR) AS key, count(*) AS docs FROM docs GROUP BY year), k AS (SELECT 'keywords' AS what, key, count(*) AS docs FROM kw GROUP BY key ORDER BY docs DESC, key LIMIT 15), c AS (SELECT 'countries' AS what, key, count(*) AS docs FROM co GROUP BY key ORDER BY docs DESC, key LIMIT 15), s AS (SELECT 'sources' AS what, key, count(*) AS docs FROM so GROUP BY key ORDER BY docs DESC, key LIMIT 15) SELECT * FROM y UNION ALL SELECT * FROM k UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s")
+def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
+    """Records a year, and the top 15 keywords, countries and sources."""
+    return reports.digest({"keywords": keywords(spark, d), "countries": countries(spark, d), "sources": sources(spark, d)}, documents(spark, d))
+
+
+_AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@_register(
+    rf"""t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, t, trim(regexp_replace(t, '[\x00-\x20]+', ' ', 'g')) AS c FROM t)
+SELECT doc_id, sha256(translate(t, '{_AZ}', '{_az}')) AS low, sha256(translate(t, '{_az}', '{_AZ}')) AS high, sha256(c) AS collapsed, sha256(regexp_replace(t, '^[\x00-\x20\xA0]+|[\x00-\x20\xA0]+$', '', 'g')) AS trimmed,
+sha256(replace(translate(t, '{X._FOLD_FROM}', '{X._FOLD_TO}'), 'ß', 'ss')) AS folded, CASE WHEN length(c) > 40 THEN rtrim(substring(c, 1, 39)) || '…' ELSE c END AS short,
+CAST(len(list_filter(list_transform(regexp_split_to_array(t, '[;,]'), lambda x: regexp_replace(x, '^[\x00-\x20\xA0]+|[\x00-\x20\xA0]+$', '', 'g')), lambda x: x <> '')) AS INT) AS parts,
+sha256(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;')) AS escaped FROM c"""
+)
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The plain text functions over every whole text, long results as their SHA-256."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    digests = {"low": X.lower(t), "high": X.upper(t), "collapsed": X.collapse(t), "trimmed": X.trim(t), "folded": X.ascii_fold(t), "escaped": X.xml_escape(t)}
+    return _t(spark, d, "documents").select("doc_id", *[X.sha256_hex(c).alias(k) for k, c in digests.items()], X.truncate(X.collapse(t), 40).alias("short"), F.size(X.split_any(t, ";,")).alias("parts"))
+
+
+@_register(
+    r"""x AS (SELECT o_orderkey AS doc, '10.1000/' || o_orderkey || '.' || o_orderstatus AS doi, o_totalprice AS v, o_orderpriority AS p FROM orders)
+SELECT doc, translate(doi, 'FOP', 'fop') AS doi, CAST(doc AS INT) AS number, format('{:,}', CAST(floor(v) AS BIGINT)) AS pretty, CAST(regexp_extract(p, '\d+') AS INT) AS first_number, doc % 2 = 0 AS digits FROM x"""
+)
+def text_values(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers and numbers written as texts, and read back."""
+    o = _t(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    written = F.concat(F.lit("  https://DOI.org/10.1000/"), key, F.lit("."), F.col("o_orderstatus"), F.lit(".; "))
+    return o.select(
+        F.col("o_orderkey").alias("doc"), X.norm_doi(written).alias("doi"), X.to_int(F.concat(F.lit(" "), key, F.lit(" pp."))).alias("number"), X.format_int(F.floor("o_totalprice")).alias("pretty"),
+        X.first_number(F.col("o_orderpriority")).alias("first_number"), X.is_digits(F.concat(key, F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("a"))).alias("digits"),
+    )

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmesh import schema
 from inkmesh.operators import match, units
+from inkmesh.plans.staging import stage
 
 
 def place_records(fresh: DataFrame, unit: str, nodes: DataFrame) -> DataFrame:
@@ -29,18 +31,23 @@ def check(fetched: DataFrame, corpus: DataFrame, unit: str, nodes: DataFrame) ->
 def follow(spark, folder: str, corpus_path: str, unit: str, nodes: DataFrame, out_path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None):
     """A stream over Parquet files of fetched records: each batch's unknown records join the corpus and are placed.
 
-    Runs on what is there and stops (available now). State is the corpus table itself; a batch that is run again finds
-    its records known and adds nothing.
+    Runs on what is there and stops (available now). New records get rec_ids of their own behind all of the corpus's.
+    Batch k is decided once and written to out_path/batch=k; the corpus takes those of its rows that it does not hold.
+    So a batch that is run again, wherever it broke off, adds each row once.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        corpus = spark.read.parquet(corpus_path)
-        placed, _ = check(df, corpus, unit, nodes)
-        placed = placed.persist()
-        placed.write.mode("append").parquet(out_path)
-        placed.select(*schema.RECORDS.fieldNames()).write.mode("append").parquet(corpus_path)
+        corpus, decided = spark.read.parquet(corpus_path), f"{out_path}/batch={number}"
+        try:
+            placed = spark.read.parquet(decided)
+        except AnalysisException:  # not decided yet
+            last = corpus.agg(F.coalesce(F.max("rec_id"), F.lit(-1)).alias("m")).first()["m"]
+            moved = stage(df.withColumn("rec_id", (F.monotonically_increasing_id() + F.lit(last + 1)).cast(df.schema["rec_id"].dataType)), "fetched")
+            check(moved, corpus, unit, nodes)[0].write.mode("overwrite").parquet(decided)
+            placed = spark.read.parquet(decided)
+        fresh = placed.join(corpus.select("rec_id"), "rec_id", "left_anti").select(*schema.RECORDS.fieldNames())
+        stage(fresh, "fresh").write.mode("append").parquet(corpus_path)
         if then:
             then(placed, number)
-        placed.unpersist()
 
     return spark.readStream.schema(schema.RECORDS).parquet(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

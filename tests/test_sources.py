@@ -114,6 +114,10 @@ def test_living_map(spark, tmp_path):
     living.follow(spark, inbox, base, "keywords", nodes, out, str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(out).where("title = 'An entirely new publication'").count() == 1
     assert match.unknown_records(fetched, spark.read.parquet(base)).where("title like 'An%'").count() == 0
+    held = spark.read.parquet(base)
+    assert held.select("rec_id").distinct().count() == held.count()
+    living.follow(spark, inbox, base, "keywords", nodes, out, str(tmp_path / "cp2")).awaitTermination(120)  # the same batch once more
+    assert spark.read.parquet(base).count() == held.count() and spark.read.parquet(out).where("title = 'An entirely new publication'").count() == 1
 
 
 def test_windows_as_a_stream(spark, tmp_path):
