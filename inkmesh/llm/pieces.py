@@ -79,6 +79,21 @@ class PieceCoder:
         turn = np.lexsort((back, end))
         return np.searchsorted(end[turn], np.arange(n + 2)), back[turn].astype(np.int32), own[turn].astype(np.int32)
 
+    def _few_edges(self, text: str) -> tuple[list[int], list[int], list[int], list[float]]:
+        """What _edges gives, and scores, of a short text: as lists, by plain lookups."""
+        bounds, back, own, score = [0, 0], [], [], []
+        get = self.pieces.get
+        for j in range(1, len(text) + 1):
+            for i in range(j - 1, max(-1, j - self.longest - 1), -1):
+                p = get(text[i:j])
+                if p is None and i + 1 < j:
+                    continue
+                back.append(j - i)
+                own.append(-1 if p is None else p[0])
+                score.append(self.unknown if p is None else p[1])
+            bounds.append(len(back))
+        return bounds, back, own, score
+
     def search(self, text: str) -> Best:
         """The n best (score, ids) of a text, best first.
 
@@ -88,14 +103,17 @@ class PieceCoder:
         paths can be among the n best: so ties, such as those of a run of one letter, cost no more than other text.
         Paths share what they have in common, by pointers back.
         """
-        first, back, own = self._edges(text)
-        bounds, end = first.tolist(), len(text)
-        score = np.where(own >= 0, self.by_id[own], self.unknown)
+        end = len(text)
+        if end <= LONG:
+            bounds, back, own, score = self._few_edges(text)
+        else:
+            first, back, own = self._edges(text)
+            bounds, score = first.tolist(), np.where(own >= 0, self.by_id[own], self.unknown)
         best = [0.0]
         for a in range(0, end, 50_000):
             b = min(end, a + 50_000)
             lo = bounds[a + 1]
-            ks, ss = back[lo : bounds[b + 1]].tolist(), score[lo : bounds[b + 1]].tolist()
+            ks, ss = list(back[lo : bounds[b + 1]]), list(score[lo : bounds[b + 1]])
             for j in range(a + 1, b + 1):
                 x, y = bounds[j] - lo, bounds[j + 1] - lo
                 best.append(max([best[j - k] + s for k, s in zip(ks[x:y], ss[x:y])]))
