@@ -66,27 +66,36 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """Templates' postings by word, (template, place), and each word's inverse template frequency."""
+    """Of each template: its label, words, key phrases and their words, idf in all, and the places of its rare words.
+
+    postings holds by word what share of which template's idf it brings wherever it stands.
+    """
 
     labels: tuple[str, ...]
     words: tuple[tuple[bytes, ...], ...]
     keys: tuple[tuple[tuple[bytes, ...], ...], ...]
-    postings: dict[bytes, tuple[tuple[int, int], ...]]
+    key_words: tuple[frozenset[bytes], ...]
     idf: dict[bytes, float]
     total: tuple[float, ...]
-    rare: tuple[int, ...]
+    postings: dict[bytes, tuple[tuple[int, float], ...]]
+    rare: tuple[tuple[tuple[bytes, int], ...], ...]
+    rare_words: frozenset[bytes]
 
 
 @cache
 def build_index(templates: tuple = TEMPLATES, rare: float = 1.2) -> Index:
+    """The index; words of an idf of `rare` or more are the rare ones."""
     words = tuple(tuple(words_of(t)) for _, t, _ in templates)
+    keys = tuple(tuple(tuple(words_of(p)) for p in ps) for _, _, ps in templates)
     df = Counter(w for t in words for w in set(t))
+    idf = {w: math.log((1 + len(words)) / n) for w, n in df.items()}
+    total = tuple(sum(idf[w] for w in t) for t in words)
     postings: dict[bytes, list] = {}
     for k, t in enumerate(words):
-        for place, w in enumerate(t):
-            postings.setdefault(w, []).append((k, place))
-    idf = {w: math.log((1 + len(words)) / n) for w, n in df.items()}
-    return Index(tuple(x for x, _, _ in templates), words, tuple(tuple(tuple(words_of(p)) for p in ps) for _, _, ps in templates), {w: tuple(p) for w, p in postings.items()}, idf, tuple(sum(idf[w] for w in t) for t in words), tuple(sum(idf[w] >= rare for w in set(t)) for t in words))
+        for w, n in Counter(t).items():
+            postings.setdefault(w, []).append((k, n * idf[w] / total[k]))
+    places = tuple(tuple((w, place) for place, w in enumerate(t) if idf[w] >= rare) for t in words)
+    return Index(tuple(x for x, _, _ in templates), words, keys, tuple(frozenset(w for p in ps for w in p) for ps in keys), idf, total, {w: tuple(p) for w, p in postings.items()}, places, frozenset(w for p in places for w, _ in p))
 
 
 def find_phrase(words: list[bytes], phrase: tuple[bytes, ...], begin: int = 0, end: int | None = None) -> list[int]:
@@ -128,51 +137,67 @@ def align(words: list[bytes], template: tuple[bytes, ...], idf: dict[bytes, floa
     return got / total, first, last + 1
 
 
-def candidates(words: list[bytes], index: Index, rare: float = 1.2, slack: int = 8) -> list[tuple[int, int]]:
-    """(template, begin): where two different rare words of a template, or the only one it has, stand as far apart as in it, give or take `slack`.
+def attainable(here: set[bytes], index: Index) -> list[float]:
+    """The most that an alignment of each template can score in a file of the words `here`: their share of its idf."""
+    most = [0.0] * len(index.words)
+    for w in here & index.postings.keys():
+        for k, share in index.postings[w]:
+            most[k] += share
+    return most
+
+
+def candidates(at: dict[bytes, list[int]], rare: tuple[tuple[bytes, int], ...], slack: int = 8) -> list[int]:
+    """Where a template may begin: two different rare words of it, or the only one it has, stand as far apart as in it, give or take `slack`.
 
-    The file's rare licence words are looked up, those of an idf of `rare` or more; their postings, as places where the
-    template would begin, are sorted and intersected within the slack.
+    `at` holds the places of the file's rare licence words, `rare` the template's postings. Its places, as those where
+    the template would begin, are sorted and intersected within the slack.
     """
-    here = set(words)
-    begins: dict[int, list[tuple[int, bytes]]] = {}
-    for w in here & index.postings.keys():
-        if index.idf[w] >= rare:
-            for at in find_phrase(words, (w,)):
-                for k, place in index.postings[w]:
-                    begins.setdefault(k, []).append((at - place, w))
-    out = []
-    for k, found in sorted(begins.items()):
-        found.sort()
-        need = min(2, index.rare[k])
-        left, seen, since = 0, Counter(), None
-        for begin, w in found:
-            seen[w] += 1
-            while begin - found[left][0] > slack:
-                seen[found[left][1]] -= 1
-                if not seen[found[left][1]]:
-                    del seen[found[left][1]]
-                left += 1
-            if len(seen) >= need and (since is None or begin - since > slack):
-                since = begin
-                out += [(k, b) for b in {found[left][0], begin}]
+    found = sorted((p - place, w) for w, place in rare if w in at for p in at[w])
+    need = min(2, len({w for w, _ in rare}))
+    left, seen, since, out = 0, Counter(), None, []
+    for begin, w in found:
+        seen[w] += 1
+        while begin - found[left][0] > slack:
+            seen[found[left][1]] -= 1
+            if not seen[found[left][1]]:
+                del seen[found[left][1]]
+            left += 1
+        if len(seen) >= need and (since is None or begin - since > slack):
+            since = begin
+            out += {found[left][0], begin}
     return out
 
 
-def scan(words: list[bytes], index: Index, enough: float = 0.8, places: list[tuple[int, int]] | None = None) -> tuple[dict[str, float], float]:
+def scan(words: list[bytes], index: Index, enough: float = 0.8, places: list[tuple[int, int]] | None = None, any_score: bool = True) -> tuple[dict[str, float], float]:
     """(label -> score, the best score of any alignment) of the licences that a file's words hold.
 
     An alignment (see align, candidates) that gathers `enough` of its template's idf, and all of its key phrases, is a
     find; its score is the share of idf that stands in place. Of finds in one place only the one that covers most
-    counts. `places` replaces the index's candidates.
+    counts. Templates whose words in the file cannot gather `enough`, or that lack a word of a key phrase, are passed
+    over, unless with any_score they could still raise the best score. `places` replaces the index's candidates.
     """
     finds: list[tuple[float, float, int, int, str]] = []
-    best = 0.0
-    for k, begin in candidates(words, index) if places is None else places:
-        score, lo, hi = align(words, index.words[k], index.idf, begin)
-        best = max(best, score)
-        if score >= enough and all(find_phrase(words, p, lo, hi) for p in index.keys[k]):
-            finds.append((score * index.total[k], score, lo, hi, index.labels[k]))
+    best, at = 0.0, None
+    here = set(words)
+    wanted: dict[int, list[int]] | None = None
+    if places is not None:
+        wanted = {}
+        for k, begin in places:
+            wanted.setdefault(k, []).append(begin)
+    for k, most in enumerate(attainable(here, index)):
+        most += 1e-9  # sums in another order
+        if not (most >= enough and index.key_words[k] <= here or any_score and most > best):
+            continue
+        if at is None:
+            at = {}
+            for i, w in enumerate(words):
+                if w in index.rare_words:
+                    at.setdefault(w, []).append(i)
+        for begin in candidates(at, index.rare[k]) if wanted is None else wanted.get(k, ()):
+            score, lo, hi = align(words, index.words[k], index.idf, begin)
+            best = max(best, score)
+            if score >= enough and all(find_phrase(words, p, lo, hi) for p in index.keys[k]):
+                finds.append((score * index.total[k], score, lo, hi, index.labels[k]))
     out: dict[str, float] = {}
     taken: list[tuple[int, int]] = []
     for _, score, lo, hi, label in sorted(finds, key=lambda f: (-f[0], f[4], f[2])):
@@ -205,7 +230,7 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
                 if found := find_phrase(words, phrase):
                     places += found
                     base.add(label)
-            finds, best = scan(words, index)
+            finds, best = scan(words, index, any_score=bool(base))
             score = best if base else max(finds.values(), default=0.0)
             out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | finds.keys())), score))
         columns = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()))]
