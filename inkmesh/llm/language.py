@@ -28,9 +28,9 @@ SHORT = 24
 
 
 @cache
-def _word() -> re.Pattern[str]:
-    """A letter, and the letters and combining marks behind it (Unicode categories L and M)."""
-    kinds = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
+def _word(last: int) -> re.Pattern[str]:
+    """A letter, and the letters and combining marks behind it (Unicode categories L and M), of code points up to `last`."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(last + 1)]
 
     def ranges(of: str) -> str:
         out, c = [], 0
@@ -46,7 +46,10 @@ def _word() -> re.Pattern[str]:
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters and their marks, each whole, with the vocabulary's mark of a word's beginning."""
-    return ["▁" + w for w in _word().findall(text.lower())]
+    text = text.lower()
+    # Sets that end at U+FFFF are looked up in one step, wider ones range by range; wider characters take two UTF-16 units.
+    narrow = len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+    return ["▁" + w for w in _word(0xFFFF if narrow else sys.maxunicode).findall(text)]
 
 
 def letter_pieces(path: str) -> list[str]:
