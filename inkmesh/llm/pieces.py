@@ -61,7 +61,7 @@ class PieceCoder:
         self.lookup = PieceTable(names)
         self.by_id = np.zeros(model.get_piece_size())
         self.by_id[self.ids[:-1]] = self.scores[:-1]
-        self.chunks, self.several = Generations(100_000), Generations(20_000)
+        self.chunks, self.several = Generations(200_000, 8_000_000), Generations(20_000)
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, back, id): the pieces that end at place j are first[j] to first[j + 1], shortest first, each with its length; id -1 is an unknown letter."""
@@ -245,26 +245,28 @@ class PieceCoder:
             if new:
                 self._learn(new)
             get = self.chunks.young.__getitem__
-            return [self._whole(chunks, list(map(get, chunks))) for chunks in cut]
+            return [self._whole(chunks, *zip(*map(get, chunks))) if chunks else [(0.0, b"")] for chunks in cut]
 
-    def _whole(self, names: list[str], chunks: list[tuple[float, float, bytes]]) -> list[tuple[float, bytes]]:
+    def _whole(self, names: list[str], scores: tuple[float, ...], gaps: tuple[float, ...], parts: tuple[bytes, ...]) -> list[tuple[float, bytes]]:
         """n best of a text from those of its chunks: chunks are independent, so only the n - 1 chunks that lose least matter."""
-        parts = [c[2] for c in chunks]
-        total = sum([c[0] for c in chunks])
+        total = sum(scores)
         out = [(total, b"".join(parts))]
-        if self.n > 1 and chunks:
-            gap = np.fromiter([c[1] for c in chunks], float, len(chunks))
+        if self.n > 1:
+            gap = np.array(gaps)
             least = np.argsort(gap, kind="stable")[: self.n - 1] if len(gap) <= 64 else self._least(gap)
             choices: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
             several = {k: self._known(names[k], parts[k]) for k in sorted(least[np.isfinite(gap[least])].tolist())}
             for k, best in several.items():
                 own = [best[0][0] - s for s, _ in best]
                 choices = sorted((d + own[r], c + ((k, r),) if r else c) for d, c in choices for r in range(len(own)))[: self.n]
+            whole = out[0][1]
+            begin = {k: sum(map(len, parts[:k])) for k in several}
             for lost, choice in choices[1:]:
-                other = parts.copy()
-                for k, r in choice:
-                    other[k] = several[k][r][1]
-                out.append((total - lost, b"".join(other)))
+                other, at = [], 0
+                for k, r in choice:  # in order of k
+                    other += [whole[at : begin[k]], several[k][r][1]]
+                    at = begin[k] + len(parts[k])
+                out.append((total - lost, b"".join([*other, whole[at:]])))
         return out
 
     def _least(self, gap: np.ndarray) -> np.ndarray:

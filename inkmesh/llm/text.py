@@ -53,10 +53,10 @@ class Generations:
     def missing(self, keys: set) -> list:
         """Make room, carry what is known over, and return the keys that still need a value."""
         young = self.young
-        need = [k for k in keys if k not in young]
+        need = keys.difference(young)
         size = sum(map(len, need))
         if len(young) + len(need) > self.most or self.size + size > self.letters:
-            self.old, self.young, need = young, {}, list(keys)
+            self.old, self.young, need = young, {}, keys
             self.size, size = 0, sum(map(len, need))
         self.size += size
         young, old = self.young, self.old
