@@ -71,6 +71,144 @@ ET ETH Ethiopia=
 JO JOR Jordan=
 IQ IRQ Iraq=
 MZ MOZ Mozambique=
+AF AFG Afghanistan=
+AL ALB Albania=
+AD AND Andorra=
+AO AGO Angola=
+AG ATG Antigua and Barbuda=antigua & barbu
+AM ARM Armenia=
+AZ AZE Azerbaijan=
+BS BHS Bahamas=the bahamas
+BH BHR Bahrain=
+BB BRB Barbados=
+BY BLR Belarus=byelarus
+BZ BLZ Belize=
+BJ BEN Benin=
+BT BTN Bhutan=
+BO BOL Bolivia=plurinational state of bolivia
+BA BIH Bosnia and Herzegovina=bosnia & herceg,bosnia,bosnia & herzegovina
+BW BWA Botswana=
+BN BRN Brunei=brunei darussalam
+BG BGR Bulgaria=
+BF BFA Burkina Faso=
+BI BDI Burundi=
+KH KHM Cambodia=
+CM CMR Cameroon=
+CV CPV Cape Verde=cabo verde
+CF CAF Central African Republic=cent afr republ
+TD TCD Chad=
+KM COM Comoros=
+CG COG Congo=rep congo,republic of congo,congo republic
+CR CRI Costa Rica=
+CI CIV Ivory Coast=cote d'ivoire,cote divoire
+HR HRV Croatia=
+CU CUB Cuba=
+CY CYP Cyprus=
+DJ DJI Djibouti=
+DM DMA Dominica=
+DO DOM Dominican Republic=dominican rep
+EC ECU Ecuador=
+SV SLV El Salvador=
+GQ GNQ Equatorial Guinea=
+ER ERI Eritrea=
+EE EST Estonia=
+SZ SWZ Eswatini=swaziland
+FJ FJI Fiji=
+GA GAB Gabon=
+GM GMB Gambia=the gambia
+GE GEO Georgia=republic of georgia
+GH GHA Ghana=
+GD GRD Grenada=
+GT GTM Guatemala=
+GN GIN Guinea=
+GW GNB Guinea-Bissau=guinea bissau
+GY GUY Guyana=
+HT HTI Haiti=
+HN HND Honduras=
+HK HKG Hong Kong=hong kong sar,hong kong sar china
+IS ISL Iceland=
+JM JAM Jamaica=
+KZ KAZ Kazakhstan=
+KI KIR Kiribati=
+XK XKX Kosovo=
+KW KWT Kuwait=
+KG KGZ Kyrgyzstan=kyrgyz republic
+LA LAO Laos=lao people's democratic republic,lao pdr
+LV LVA Latvia=
+LB LBN Lebanon=
+LS LSO Lesotho=
+LR LBR Liberia=
+LY LBY Libya=libyan arab jamahiriya
+LI LIE Liechtenstein=
+LT LTU Lithuania=
+LU LUX Luxembourg=
+MO MAC Macao=macau,macao sar
+MG MDG Madagascar=
+MW MWI Malawi=
+MV MDV Maldives=
+ML MLI Mali=
+MT MLT Malta=
+MH MHL Marshall Islands=
+MR MRT Mauritania=
+MU MUS Mauritius=
+FM FSM Micronesia=federated states of micronesia
+MD MDA Moldova=republic of moldova
+MC MCO Monaco=
+MN MNG Mongolia=
+ME MNE Montenegro=
+MM MMR Myanmar=burma
+NA NAM Namibia=
+NR NRU Nauru=
+NP NPL Nepal=
+NZ NZL New Zealand=
+NI NIC Nicaragua=
+NE NER Niger=
+MK MKD North Macedonia=macedonia,republic of north macedonia
+OM OMN Oman=
+PW PLW Palau=
+PS PSE Palestine=state of palestine
+PA PAN Panama=
+PG PNG Papua New Guinea=papua n guinea
+PY PRY Paraguay=
+PR PRI Puerto Rico=
+QA QAT Qatar=
+RW RWA Rwanda=
+KN KNA Saint Kitts and Nevis=st kitts & nevi
+LC LCA Saint Lucia=st lucia
+VC VCT Saint Vincent and the Grenadines=st vincent
+WS WSM Samoa=
+SM SMR San Marino=
+ST STP Sao Tome and Principe=sao tome & prin
+SN SEN Senegal=
+SC SYC Seychelles=
+SL SLE Sierra Leone=
+SK SVK Slovakia=slovak republic
+SI SVN Slovenia=
+SB SLB Solomon Islands=
+SO SOM Somalia=
+SS SSD South Sudan=
+LK LKA Sri Lanka=
+SD SDN Sudan=
+SR SUR Suriname=
+SY SYR Syria=syrian arab republic
+TJ TJK Tajikistan=
+TZ TZA Tanzania=united republic of tanzania
+TL TLS Timor-Leste=east timor
+TG TGO Togo=
+TO TON Tonga=
+TT TTO Trinidad and Tobago=trinidad tobago,trinidad & tobago
+TN TUN Tunisia=
+TM TKM Turkmenistan=
+TV TUV Tuvalu=
+UG UGA Uganda=
+UY URY Uruguay=
+UZ UZB Uzbekistan=
+VU VUT Vanuatu=
+VA VAT Vatican City=holy see,vatican
+VE VEN Venezuela=bolivarian republic of venezuela
+YE YEM Yemen=
+ZM ZMB Zambia=
+ZW ZWE Zimbabwe=
 """
 
 
@@ -85,13 +223,14 @@ def country_aliases(spark: SparkSession) -> DataFrame:
 
 
 def _candidates(c: Column) -> Column:
-    """What of an address may name a country, most telling first: the whole, its last part, its last five to one words, its last code."""
+    """What of an address may name a country, most telling first: the whole, its last part, its last five to one words, its last three-letter code."""
     whole = F.regexp_replace(lower(ascii_fold(trim(F.regexp_replace(c, r"\s+", " ")))), r"[.; ]+$", "")
     last = trim(F.element_at(F.split(whole, "[,;]"), -1))
     words = F.split(last, " ")
     tails = F.transform(F.array(*[F.lit(k) for k in (5, 4, 3, 2, 1)]), lambda k: F.array_join(F.slice(words, F.greatest(F.size(words) - k + 1, F.lit(1)), k), " "))
-    code = F.regexp_extract(trim(c), r"(?:^|\s)([A-Z]{2,3})$", 1)
-    return F.filter(F.concat(F.array(F.when(trim(c).rlike("^[A-Z]{2,3}$"), trim(c)), whole, last), tails, F.array(code)), lambda x: F.coalesce(x, F.lit("")) != "")
+    own = F.when(trim(c).rlike("^([A-Z][A-Za-z]|[A-Za-z]{3})$"), F.upper(trim(c)))
+    code = F.regexp_extract(trim(c), r"(?:^|[\s,;])([A-Z]{3})$", 1)  # two letters at the end may be a state
+    return F.filter(F.concat(F.array(own, whole, last), tails, F.array(code)), lambda x: F.coalesce(x, F.lit("")) != "")
 
 
 def normalise_countries(df: DataFrame, column: str, aliases: DataFrame | None = None, keep_unknown: bool = False) -> DataFrame:

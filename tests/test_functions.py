@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from inkmesh.functions import refs as R
 from inkmesh.functions import terms as T
 from inkmesh.functions import text as X
-from inkmesh.operators.geo import normalise_countries
+from inkmesh.operators.geo import COUNTRIES, normalise_countries
 
 
 def _apply(spark, values, f):
@@ -61,6 +61,15 @@ def test_countries(spark):
     assert got == ["United States", "China", "Bangladesh", "South Korea", "", "United Kingdom", None]
 
 
+def test_countries_by_code_and_spelling(spark):
+    given = ["NZ", "nzl", "New Zealand", "Zagreb, Croatia", "HR", "Doha QAT", "Atlanta, GA", "Cote d'Ivoire", "Tunis, Tunisia.", "Burma", "Hong Kong SAR"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, c string")
+    got = [r["c"] for r in normalise_countries(df, "c").orderBy("i").collect()]
+    assert got == ["New Zealand", "New Zealand", "New Zealand", "Croatia", "Croatia", "Qatar", "", "Ivory Coast", "Tunisia", "Myanmar", "Hong Kong"]
+    names = [line.partition("=")[0].split(" ", 2) for line in COUNTRIES.strip().splitlines()]
+    assert all(len(set(column)) == len(names) for column in zip(*names))
+
+
 def test_generator():
     draw = X.mulberry32(42)
     values = [draw() for _ in range(1000)]
