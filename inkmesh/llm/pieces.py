@@ -61,7 +61,8 @@ class PieceCoder:
         self.lookup = PieceTable(names)
         self.by_id = np.zeros(model.get_piece_size())
         self.by_id[self.ids[:-1]] = self.scores[:-1]
-        self.chunks, self.several = Generations(200_000, 8_000_000), Generations(20_000)
+        self.sizes = np.array(list(map(len, self.table)))
+        self.chunks, self.several = Generations(400_000, 16_000_000), Generations(20_000)
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, back, id): the pieces that end at place j are first[j] to first[j + 1], shortest first, each with its length; id -1 is an unknown letter."""
@@ -275,8 +276,25 @@ class PieceCoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, without the space that encoding put before it; byte pieces that are no UTF-8 become U+FFFD."""
-        text = b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-        return text.removeprefix(" ")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, many: list[bytes]) -> list[str]:
+        """What decode gives of each; pieces that one shares with the first, at its beginning and its end, are joined once."""
+        join = lambda ids: b"".join(map(self.table.__getitem__, ids.tolist()))
+        first, *rest = [np.frombuffer(ids, "<u4") for ids in many]
+        whole = join(first)
+        out = [whole.decode("utf-8", "replace").removeprefix(" ")]
+        size = self.sizes[first] if rest else None
+        for ids in rest:
+            n = min(len(first), len(ids))
+            head = np.flatnonzero(first[:n] != ids[:n])
+            head = int(head[0]) if len(head) else n
+            left = n - head
+            tail = np.flatnonzero(first[len(first) - left :][::-1] != ids[len(ids) - left :][::-1])
+            tail = int(tail[0]) if len(tail) else left
+            text = whole[: size[:head].sum()] + join(ids[head : len(ids) - tail]) + whole[len(whole) - size[len(first) - tail :].sum() :]
+            out.append(out[0] if text == whole else text.decode("utf-8", "replace").removeprefix(" "))
+        return out
 
 
 @cache
@@ -296,7 +314,10 @@ def encode(docs: DataFrame, n: int = 3, path: str | None = None, decoded: bool =
 
     def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         coder = _coder(path, n)
-        rows = [(doc, r, s, ids, *([coder.decode(ids)] if decoded else [])) for doc, best in zip(part.column(0).to_pylist(), coder.encode(texts)) for r, (s, ids) in enumerate(best, 1)]
+        rows = []
+        for doc, best in zip(part.column(0).to_pylist(), coder.encode(texts)):
+            more = [[t] for t in coder.decode_all([ids for _, ids in best])] if decoded else [[]] * len(best)
+            rows += [(doc, r, s, ids, *more[r - 1]) for r, (s, ids) in enumerate(best, 1)]
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
 
     names = ["doc_id", "rank", "score", "ids", *["text"] * decoded]
