@@ -62,7 +62,7 @@ class PieceCoder:
         self.by_id = np.zeros(model.get_piece_size())
         self.by_id[self.ids[:-1]] = self.scores[:-1]
         self.sizes = np.array(list(map(len, self.table)))
-        self.chunks, self.several = Generations(400_000, 16_000_000), Generations(20_000)
+        self.chunks, self.several = Generations(300_000, 8_000_000), Generations(20_000)
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, back, id): the pieces that end at place j are first[j] to first[j + 1], shortest first, each with its length; id -1 is an unknown letter."""
