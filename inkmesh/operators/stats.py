@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmesh.plans.joins import join_uneven
+from inkmesh.plans.scan import running
+
 
 def _known(year: str = "year") -> Column:
     return F.col(year).isNotNull() & (F.col(year) != 0)
@@ -86,12 +89,12 @@ def lotka(inc: DataFrame) -> DataFrame:
 def bradford(inc: DataFrame) -> DataFrame:
     """key, docs, rank, zone (1 to 3): sources by documents, cut where their running sum reaches thirds of all.
 
-    The running sum is over sources, of which there are far fewer than documents.
+    Ranks and running sums come from a scan by ranges, so sources may be as many as they like.
     """
     n = inc.groupBy("key").agg(F.count_distinct("doc").alias("docs"))
-    w = Window.orderBy(F.desc("docs"), "key")
-    run = n.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("run", F.sum("docs").over(w)).withColumn("total", F.sum("docs").over(Window.partitionBy()))
-    before = F.col("run") - F.col("docs")
+    run = running(n, [F.desc("docs"), F.col("key")], ("docs",))
+    run = run.join(F.broadcast(run.agg(F.sum("docs").alias("total"))))
+    before = F.col("run_docs") - F.col("docs")
     zone = F.when(3 * before < F.col("total"), 1).when(3 * before < 2 * F.col("total"), 2).otherwise(3)
     return run.select("key", "docs", "rank", zone.alias("zone"))
 
@@ -203,12 +206,16 @@ def three_field(left: DataFrame, mid: DataFrame, right: DataFrame, top: int = 10
 
 
 def label_suffixes(labels: DataFrame) -> DataFrame:
-    """(doc, label) -> doc, label: repeated labels get a, b, c ... in document order, beginning anew after z."""
-    w = Window.partitionBy("label")
-    nth = F.row_number().over(w.orderBy("doc")) - 1
-    letter = F.char(F.lit(97) + F.pmod(nth, F.lit(26)))
-    many = F.count(F.lit(1)).over(w) > 1
-    return labels.select("doc", F.when(many, F.concat("label", letter)).otherwise(F.col("label")).alias("label"))
+    """(doc, label) -> doc, label: repeated labels get a, b, c ... in document order, beginning anew after z.
+
+    A label's place in the order of all labels and documents, less that of its first document, is its number: no task
+    holds all documents of a label. Null labels stay null.
+    """
+    run = running(labels.select("doc", "label").where("label is not null"), [F.col("label"), F.col("doc")])
+    facts = run.groupBy("label").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 1).alias("many"))
+    letter = F.char(F.lit(97) + F.pmod(F.col("rank") - F.col("first"), F.lit(26)))
+    named = join_uneven(run, facts, "label", "n").select("doc", F.when(F.col("many"), F.concat("label", letter)).otherwise(F.col("label")).alias("label"))
+    return named.unionByName(labels.select("doc", "label").where("label is null"))
 
 
 def partition_agreement(labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system delete the folder when the application ends: until then plans may still read it."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet below the shared folder and read it back.
 
@@ -31,4 +38,5 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkmesh-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
