@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.llm import fingerprint, language, licenses, packing, pieces, quality, rules, simhash, token_counts, toxicity
+from inkmesh.llm import fingerprint, language, licenses, packing, pieces, quality, rules, simhash, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,12 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "rank", "score", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_best_fit_packing, op4_license_scans, op5_simhash_near_dedup, op6_quality_classifier, op7_language_id, op8_toxicity, op9_quality_rules, op10_sentencepiece_nbest)}
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the ten best candidates of every vector whose id is divisible by 100."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_best_fit_packing, op4_license_scans, op5_simhash_near_dedup, op6_quality_classifier, op7_language_id, op8_toxicity, op9_quality_rules, op10_sentencepiece_nbest, op11_exact_topk)}
 
 #: Fitted models, XXH64 fingerprints, tokenizers and packings are beyond SQL; tests/llm hold those against plain Python.
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": rules.ORACLE, "op11_exact_topk": topk.ORACLE}
