@@ -48,7 +48,6 @@ def test_empty_tables_and_few_rows(spark):
 def test_many_blocks_and_a_tree_of_lists(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "FAN_IN", 4)
-    monkeypatch.setattr(topk, "_TILE", 50)
     rng = random.Random(6)
     rows = [(i, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(0, 4000, 20)]
     assert search(spark, rows) == plain(rows)
@@ -62,3 +61,15 @@ def test_selection_breaks_ties_by_place():
             got = topk.select(s.astype(kind), 6)
             want = np.array([sorted(range(37), key=lambda j: (-row[j], j))[:6] for row in s])
             assert (got == want).all()
+
+
+def test_hits_do_not_depend_on_the_size_of_products(monkeypatch):
+    rng = np.random.default_rng(1)
+    q, c, ids = rng.integers(-2, 3, (9, 3)).astype(float), rng.integers(-2, 3, (200, 3)).astype(float), rng.permutation(200)
+    want = topk.Best(q, 5)
+    want.meet(c, ids < 3, ids)
+    monkeypatch.setattr(topk, "_TILE", 50)
+    got = topk.Best(q, 5)
+    for lo in range(0, 200, 70):
+        got.meet(c[lo : lo + 70], ids[lo : lo + 70] < 3, ids[lo : lo + 70])
+    assert got.hits().equals(want.hits())
