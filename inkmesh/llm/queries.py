@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.llm import filter_audit, fingerprint, language, licenses, packing, pieces, quality, rules, simhash, token_counts, topk, toxicity
+from inkmesh.llm import filter_audit, fingerprint, language, licenses, packing, pieces, quality, rules, simhash, spelling, token_counts, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_best_fit_packing, op4_license_scans, op5_simhash_near_dedup, op6_quality_classifier, op7_language_id, op8_toxicity, op9_quality_rules, op10_sentencepiece_nbest, op11_exact_topk, op12_filter_audit)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of the documents."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_document_fingerprints, op3_best_fit_packing, op4_license_scans, op5_simhash_near_dedup, op6_quality_classifier, op7_language_id, op8_toxicity, op9_quality_rules, op10_sentencepiece_nbest, op11_exact_topk, op12_filter_audit, op13_spelling_variants)}
 
 #: Fitted models, XXH64 fingerprints, tokenizers and packings are beyond SQL; tests/llm hold those against plain Python.
 ORACLE_SQL: dict[str, str] = {"op9_quality_rules": rules.ORACLE, "op11_exact_topk": topk.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
