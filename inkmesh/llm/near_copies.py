@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.simhash import ROW_KEY, keep_rows, link_fingerprints, majority, text_key, with_row_key
+from inkmesh.llm.simhash import ROW_KEY, keep_rows, link_fingerprints, majority, row_key, text_key
 from inkmesh.llm.text import give_back, in_slices
 from inkmesh.plans.components import connected_components
 from inkmesh.plans.joins import join_uneven
@@ -286,9 +286,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, each: DataFrame, shingle: int, th
         give_back()
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = with_row_key(each.join(wanted, "node", "left_semi")).groupBy("node").agg(F.min(F.struct(*ROW_KEY)).alias("x")).select("node", "x.*")
+    key = row_key(F.col("doc_id"), F.col("text_key"))
+    one = each.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*key)).alias("x")).select("node", "x.*")
     one = stage(one, "wanted")
-    texts = with_row_key(_keyed(docs)).select(*ROW_KEY, "text").join(F.broadcast(one) if one.count() <= small else one, list(ROW_KEY)).select("node", "text")
+    texts = _keyed(docs).select(*key, "text").join(F.broadcast(one) if one.count() <= small else one, list(ROW_KEY)).select("node", "text")
     sets = stage(texts.mapInArrow(in_slices(whole), "node long, found binary").groupBy("node").agg(F.first("found").alias("found")), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("found").alias("x")), sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
     return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import accumulate
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from inkmesh.llm.text import id_and_text, in_slices
 from inkmesh.plans.components import connected_components
 from inkmesh.plans.joins import join_uneven
+from inkmesh.plans.names import fresh
 from inkmesh.plans.staging import stage
 
 _POSITIONS = np.arange(1, 32)
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 #: Columns that tell rows apart by doc_id, nulls last, and text.
-ROW_KEY = ("_no_id", "_id", "_text")
+ROW_KEY = ("no_id", "id", "text_key")
 
 
 def text_key(docs: DataFrame) -> Column:
@@ -254,21 +255,23 @@ def text_key(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
-def with_row_key(rows: DataFrame) -> DataFrame:
-    """Rows with doc_id and text_key, or else text, and ROW_KEY behind their columns."""
-    text = F.col("text_key") if "text_key" in rows.columns else text_key(rows)
-    own = F.col("doc_id").cast("long")
-    return rows.select("*", own.isNull().alias("_no_id"), F.coalesce(own, F.lit(0).cast("long")).alias("_id"), text.alias("_text"))
+def row_key(doc_id: Column, key: Column, names: Sequence[str] = ROW_KEY) -> list[Column]:
+    """The columns of ROW_KEY of a row's doc_id and text_key, under the given names."""
+    own = doc_id.cast("long")
+    return [c.alias(n) for c, n in zip((own.isNull(), F.coalesce(own, F.lit(0).cast("long")), key), names, strict=True)]
 
 
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """documents, and doc_id, text_key, group of their rows -> one row a group, with all its columns.
 
     The row with the smallest doc_id stays, null ids last, of equal ids the smallest text key; rows of one doc_id but of
-    other groups are rows of their own. Of rows that agree in doc_id and text, one stays.
+    other groups are rows of their own. Of rows that agree in doc_id and text, one stays. The caller's columns may have
+    any names: the keys beside them take names that are free.
     """
-    best = with_row_key(rows).groupBy("group").agg(F.min(F.struct(*ROW_KEY)).alias("x")).select("x.*")
-    return with_row_key(docs).join(best, list(ROW_KEY), "left_semi").dropDuplicates(list(ROW_KEY)).select(*docs.columns)
+    own = fresh(docs.columns, *ROW_KEY)
+    best = rows.groupBy("group").agg(F.min(F.struct(*row_key(rows["doc_id"], rows["text_key"]))).alias("x")).select("x.*").toDF(*own)
+    marked = docs.select("*", *row_key(docs["doc_id"], text_key(docs), own))
+    return marked.join(best, own, "left_semi").dropDuplicates(own).drop(*own)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:

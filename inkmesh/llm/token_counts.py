@@ -44,8 +44,8 @@ class SpanEncoder:
             new = self.chunks.missing(set().union(*chunks))
             if new:
                 encode, size, known = self.encoding.encode_ordinary, self.size.__getitem__, self.chunks.young
-                for c in new:
-                    known[c] = bytes(map(size, encode(c)))
+                for c in new:  # a chunk of white space is one piece of the pattern, whose search overflows the stack in long ones
+                    known[c] = bytes(map(size, self.encoding._encode_single_piece(c) if c.isspace() else encode(c)))
             get = self.chunks.young.__getitem__
             return [np.frombuffer(b"".join(map(get, c)), np.uint8) for c in chunks]
 

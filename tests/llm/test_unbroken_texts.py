@@ -9,11 +9,12 @@ import pytest
 from inkmesh.llm import fingerprint, language, licenses, near_copies, packing, pieces, quality, rules, simhash, token_counts, toxicity
 
 RUNS = ["a" * 100_000, "-" * 100_000, "=" * 100_000, "_" * 100_000, "中" * 30_000, "".join(random.Random(0).choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=100_000))]
+SPACES = [" " * 1_200_000, "\n" * 200_000, "\t \u3000" * 100_000]
 
 
 @pytest.fixture(scope="module")
 def unbroken(spark):
-    rows = [(i, t, ("en", "de")[i % 2], "s") for i, t in enumerate(RUNS)] + [(10 + i, f"some words of text number {i}", ("en", "de")[i % 2], "s") for i in range(30)]
+    rows = [(i, t, ("en", "de")[i % 2], "s") for i, t in enumerate(RUNS + SPACES)] + [(10 + i, f"some words of text number {i}", ("en", "de")[i % 2], "s") for i in range(30)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").cache()
 
 
@@ -27,8 +28,8 @@ def test_n_best_of_runs_takes_little_time_and_keeps_the_text():
 
 def test_every_operator_takes_unbroken_texts(spark, unbroken):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(10, 40)], "doc_id long, quality int, toxic int")
-    n = len(RUNS) + 30
-    lengths = {i: len(t) for i, t in enumerate(RUNS)}
+    n = len(RUNS) + len(SPACES) + 30
+    lengths = {i: len(t) for i, t in enumerate(RUNS + SPACES)}
     found = token_counts.section_tokens(unbroken).toPandas()
     assert {i: g.end.max() for i, g in found.groupby("doc_id") if i in lengths} == lengths
     assert fingerprint.edited_fingerprints(unbroken).count() == n
