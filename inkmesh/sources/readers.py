@@ -1,7 +1,8 @@
 """Readers of scholarly exports: every format becomes a DataFrame of the records schema.
 
-Files are cut into records by Spark's own text, CSV and JSON sources, so a file of any size is read by many tasks;
-fields are taken out by built-in expressions. rec_id grows in the order of a file and is unique over files.
+Files are decoded and cut into records by many tasks each, however large they are (see raw and split); fields are taken
+out by built-in expressions. rec_id grows in the order of a file and is unique over files. UTF-8, with or without byte
+order mark, and UTF-16 of either order are told apart file by file.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from inkmesh import schema
 from inkmesh.functions.text import bib_clean, bib_key, collapse, first_number, latex_clean, lower, norm_doi, pick_org, split_any, to_int, trim
 from inkmesh.operators.geo import normalise_countries
+from inkmesh.sources import raw
+from inkmesh.sources.bibtex import read_entries
+from inkmesh.sources.split import csv_table, json_objects
 
 def _no() -> Column:
     return F.array().cast("array<string>")
@@ -25,7 +29,7 @@ def _records(df: DataFrame, **columns: Column) -> DataFrame:
     for f in schema.RECORDS.fields:
         c = columns.get(f.name)
         if f.name == "rec_id":
-            c = F.monotonically_increasing_id()
+            c = F.monotonically_increasing_id() if c is None else c
         elif c is None:
             c = _no() if f.dataType.typeName() == "array" else F.lit(None)
         elif f.dataType.typeName() == "string":
@@ -48,9 +52,8 @@ def _with_countries(records: DataFrame) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, path: str, end: str) -> DataFrame:
-    """value: the lines of one record, without carriage returns and byte order mark. Records end in a line that begins with `end`."""
-    rows = spark.read.option("lineSep", "\n" + end).text(path)
-    return rows.select(F.regexp_replace(F.regexp_replace("value", "\r", ""), "^﻿", "").alias("value"))
+    """value: the lines of one record, without carriage returns. Records end in a line that begins with `end`."""
+    return raw.pieces(spark, path, "\n" + end).select(F.replace("value", F.lit("\r"), F.lit("")).alias("value"))
 
 
 def _wos(tag: str, lines: Column) -> Column:
@@ -103,42 +106,36 @@ def _named(df: DataFrame, *names: str) -> Column:
     return F.lit("")
 
 
-def _csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    return spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding=encoding)
-
-
 def read_scopus(spark: SparkSession, path: str) -> DataFrame:
     """A CSV export with author keywords, affiliations and references; records without a title go."""
-    df = _csv(spark, path)
+    df = csv_table(spark, path)
     c = lambda *n: _named(df, *n)
     who = F.regexp_replace(c("authors"), r"\[No author name available\]", "")
     place = split_any(c("affiliations"), ";")
-    return _with_countries(_records(df.where(trim(c("title")) != ""), title=c("title"), abstract=F.when(c("abstract").contains("[No abstract available]"), "").otherwise(c("abstract")), source=c("source title"), doi=norm_doi(c("doi")), volume=c("volume"), pages=c("page start"), doc_type=c("document type"), publisher=c("publisher"), language=c("language of original document"), key=c("eid"), year=to_int(c("year")), cites=to_int(c("cited by")), authors=F.when(who.contains(";"), split_any(who, ";")).otherwise(split_any(who, ",")), keywords=split_any(c("author keywords"), ";"), index_terms=split_any(c("index keywords"), ";"), affiliations=F.array_distinct(F.transform(place, lambda x: pick_org(split_any(x, ",")))), countries=F.transform(place, lambda x: trim(F.element_at(F.split(x, ","), -1))), refs=split_any(c("references"), ";")))
+    return _with_countries(_records(df.where(trim(c("title")) != ""), rec_id=F.col("rec_id"), title=c("title"), abstract=F.when(c("abstract").contains("[No abstract available]"), "").otherwise(c("abstract")), source=c("source title"), doi=norm_doi(c("doi")), volume=c("volume"), pages=c("page start"), doc_type=c("document type"), publisher=c("publisher"), language=c("language of original document"), key=c("eid"), year=to_int(c("year")), cites=to_int(c("cited by")), authors=F.when(who.contains(";"), split_any(who, ";")).otherwise(split_any(who, ",")), keywords=split_any(c("author keywords"), ";"), index_terms=split_any(c("index keywords"), ";"), affiliations=F.array_distinct(F.transform(place, lambda x: pick_org(split_any(x, ",")))), countries=F.transform(place, lambda x: trim(F.element_at(F.split(x, ","), -1))), refs=split_any(c("references"), ";")))
 
 
-def read_wos_tab(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_wos_tab(spark: SparkSession, path: str) -> DataFrame:
     """A tab-delimited export whose columns are named by tags."""
-    df = _csv(spark, path, "\t", encoding)
+    df = csv_table(spark, path, "\t")
     c = lambda *n: _named(df, *n)
     place = F.filter(F.transform(F.split(F.regexp_replace(c("c1"), r"\[[^\]]*\]", ""), ";"), trim), lambda x: x != "")
-    return _with_countries(_records(df.where(trim(c("ti")) != ""), title=c("ti"), abstract=c("ab"), source=c("so"), doi=norm_doi(c("di")), volume=c("vl"), pages=c("bp"), doc_type=c("dt"), language=c("la"), year=to_int(c("py")), cites=to_int(c("tc")), authors=split_any(c("au"), ";"), keywords=split_any(c("de"), ";"), index_terms=split_any(c("id"), ";"), affiliations=F.array_distinct(F.transform(place, lambda x: pick_org(split_any(x, ",")))), countries=F.transform(place, lambda x: trim(F.element_at(F.split(x, ","), -1))), refs=split_any(c("cr"), ";")))
+    return _with_countries(_records(df.where(trim(c("ti")) != ""), rec_id=F.col("rec_id"), title=c("ti"), abstract=c("ab"), source=c("so"), doi=norm_doi(c("di")), volume=c("vl"), pages=c("bp"), doc_type=c("dt"), language=c("la"), year=to_int(c("py")), cites=to_int(c("tc")), authors=split_any(c("au"), ";"), keywords=split_any(c("de"), ";"), index_terms=split_any(c("id"), ";"), affiliations=F.array_distinct(F.transform(place, lambda x: pick_org(split_any(x, ",")))), countries=F.transform(place, lambda x: trim(F.element_at(F.split(x, ","), -1))), refs=split_any(c("cr"), ";")))
 
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """BibTeX: entries are cut at lines that begin with @; values stand in braces, nested twice at most, or quotes."""
-    rows = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "\r", "").alias("v")).where(F.col("v").rlike(r"^@?\s*\w+\s*\{"))
-    value = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+    """BibTeX: fields by their names, macros put in; entries without a title go."""
+    rows = read_entries(spark, path)
 
     def c(*names: str) -> Column:
-        tries = []
-        for n in names:
-            tries += [F.nullif(F.regexp_extract("v", rf"(?is)[,\s]{n}\s*=\s*{value}", 1), F.lit("")), F.nullif(F.regexp_extract("v", rf'(?is)[,\s]{n}\s*=\s*"([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract("v", rf"(?is)[,\s]{n}\s*=\s*(\d+)", 1), F.lit(""))]
-        return latex_clean(F.coalesce(*tries, F.lit("")))
+        return latex_clean(F.coalesce(*[F.nullif(F.try_element_at("fields", F.lit(n)), F.lit("")) for n in names], F.lit("")))
 
     listed = lambda x: F.when(x.contains(";"), split_any(x, ";")).otherwise(split_any(x, ","))
     cites = F.coalesce(first_number(c("times-cited")), first_number(F.regexp_extract(c("note"), r"(?i)cited by:?\s*(\d+)", 1)))
+    place = split_any(c("affiliations", "affiliation"), ";")
     rows = rows.where(c("title") != "")
-    return _records(rows, title=c("title"), abstract=c("abstract"), source=c("journal", "booktitle"), doi=norm_doi(c("doi")), volume=c("volume"), pages=F.regexp_extract(c("pages"), r"^\s*([A-Za-z]?\d+)", 1), doc_type=F.regexp_extract("v", r"^@?\s*(\w+)", 1), publisher=c("publisher"), language=c("language"), key=F.regexp_extract("v", r"\{\s*([^,\s]+)", 1), year=F.coalesce(first_number(c("year")), F.lit(0)), cites=cites, authors=F.filter(F.transform(F.split(c("author"), r"\s+and\s+"), trim), lambda x: x != ""), keywords=listed(c("author_keywords", "keywords")), index_terms=split_any(c("keywords-plus"), ";"), affiliations=split_any(c("affiliations", "affiliation"), ";"), refs=split_any(c("references", "cited-references"), ";"))
+    authors = F.filter(F.transform(F.split(c("author"), r"\s+and\s+"), trim), lambda x: x != "")
+    return _with_countries(_records(rows, rec_id=F.col("rec_id"), title=c("title"), abstract=c("abstract"), source=c("journal", "booktitle"), doi=norm_doi(c("doi")), volume=c("volume"), pages=F.regexp_extract(c("pages"), r"^\s*([A-Za-z]?\d+)", 1), doc_type=F.col("kind"), publisher=c("publisher"), language=c("language"), key=F.col("key"), year=F.coalesce(first_number(c("year")), F.lit(0)), cites=cites, authors=authors, keywords=listed(c("author_keywords", "keywords")), index_terms=split_any(c("keywords-plus"), ";"), affiliations=F.array_distinct(F.transform(place, lambda x: pick_org(split_any(x, ",")))), countries=F.transform(place, lambda x: trim(F.element_at(F.split(x, ","), -1))), refs=split_any(c("references", "cited-references"), ";")))
 
 
 OPENALEX = """id string, title string, display_name string, publication_year int, doi string, cited_by_count int, type string, language string,
@@ -156,12 +153,10 @@ def rebuild_abstract(inverted: Column) -> Column:
 
 def read_openalex(spark: SparkSession, path: str) -> DataFrame:
     """JSON pages of works, in `results` or as the root array."""
-    text = spark.read.text(path, wholetext=True).select("value")
-    pages = text.select(F.coalesce(F.from_json("value", f"struct<results: array<struct<{_fields()}>>>")["results"], F.from_json("value", f"array<struct<{_fields()}>>")).alias("r"))
-    w = pages.select(F.explode("r").alias("w")).select("w.*")
+    w = json_objects(spark, path).select("rec_id", F.from_json("text", f"struct<{_fields()}>").alias("w")).select("rec_id", "w.*").where("id is not null and coalesce(title, display_name) is not null")
     inst = F.flatten(F.transform("authorships", lambda a: F.coalesce(a["institutions"], F.array().cast("array<struct<display_name:string,country_code:string>>"))))
     concepts = F.transform(F.filter("concepts", lambda c: (c["level"] >= 1) & (c["score"] > 0.3)), lambda c: lower(c["display_name"]))
-    return _with_countries(_records(w, title=F.coalesce("title", "display_name"), abstract=rebuild_abstract(F.col("abstract_inverted_index")), source=F.col("primary_location.source.display_name"), doi=norm_doi(F.coalesce("doi", F.lit(""))), volume=F.col("biblio.volume"), pages=F.col("biblio.first_page"), doc_type=F.col("type"), language=F.col("language"), key=F.regexp_extract("id", r"([^/]+)$", 1), year=F.coalesce("publication_year", F.lit(0)), cites=F.col("cited_by_count"), authors=F.transform("authorships", lambda a: a["author"]["display_name"]), keywords=F.transform("keywords", lambda k: lower(F.coalesce(k["display_name"], k["keyword"]))), index_terms=concepts, affiliations=F.array_distinct(F.transform(inst, lambda i: i["display_name"])), countries=F.array_distinct(F.transform(inst, lambda i: i["country_code"])), refs=F.transform("referenced_works", lambda r: F.concat(F.lit("DOI openalex:"), F.regexp_extract(r, r"([^/]+)$", 1)))))
+    return _with_countries(_records(w, rec_id=F.col("rec_id"), title=F.coalesce("title", "display_name"), abstract=rebuild_abstract(F.col("abstract_inverted_index")), source=F.col("primary_location.source.display_name"), doi=norm_doi(F.coalesce("doi", F.lit(""))), volume=F.col("biblio.volume"), pages=F.col("biblio.first_page"), doc_type=F.col("type"), language=F.col("language"), key=F.regexp_extract("id", r"([^/]+)$", 1), year=F.coalesce("publication_year", F.lit(0)), cites=F.col("cited_by_count"), authors=F.transform("authorships", lambda a: a["author"]["display_name"]), keywords=F.transform("keywords", lambda k: lower(F.coalesce(k["display_name"], k["keyword"]))), index_terms=concepts, affiliations=F.array_distinct(F.transform(inst, lambda i: i["display_name"])), countries=F.array_distinct(F.transform(inst, lambda i: i["country_code"])), refs=F.transform("referenced_works", lambda r: F.concat(F.lit("DOI openalex:"), F.regexp_extract(r, r"([^/]+)$", 1)))))
 
 
 def _fields() -> str:
@@ -185,12 +180,12 @@ def read_vosviewer(spark: SparkSession, map_path: str | None, network_path: str
     """
     links = None
     if network_path:
-        raw = spark.read.text(network_path).select(F.split(trim(F.col("value")), r"[\t, ]+").alias("p")).where(F.size("p") >= 2)
+        rows = raw.pieces(spark, network_path).select(F.split(trim(F.col("value")), r"[\t, ]+").alias("p")).where(F.size("p") >= 2)
         a, b = F.get("p", F.lit(0)), F.get("p", F.lit(1))
         w = F.coalesce(F.get("p", F.lit(2)).try_cast("double"), F.lit(1.0))
-        links = raw.where(a != b).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.max(w).alias("w"))
+        links = rows.where(a != b).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.max(w).alias("w"))
     if map_path:
-        m = _csv(spark, map_path, "\t")
+        m = csv_table(spark, map_path, "\t").drop("rec_id")
         extra = [F.col(f"`{c}`").try_cast("double").alias(c) for c in m.columns if c.startswith(("weight<", "score<"))]
         nodes = m.select(_named(m, "id").alias("key"), _named(m, "label").alias("label"), _named(m, "x").try_cast("double").alias("x"), (-_named(m, "y").try_cast("double")).alias("y"), (_named(m, "cluster").try_cast("int") - 1).alias("cluster"), *extra)
         if links is not None:
@@ -238,10 +233,10 @@ _READERS = {"wos": read_wos, "wos_tab": read_wos_tab, "scopus": read_scopus, "ri
 
 
 def read_records(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Records of a file in any format that sniff knows; only its first lines are looked at on the driver."""
+    """Records of a file in any format that sniff knows; only the first characters of its first file are looked at on the driver."""
     if kind is None:
-        head = "\n".join(r["value"] for r in spark.read.text(path).limit(60).collect())
-        kind = sniff(head, path)
+        found = raw.sources(spark, path)
+        kind = sniff(found[0].head, path) if found else ""
     if kind not in _READERS:
         raise ValueError(f"unknown format of {path}: {kind or 'nothing fits'}; one of {', '.join(_READERS)}")
     return _READERS[kind](spark, path)
