@@ -153,7 +153,12 @@ def rebuild_abstract(inverted: Column) -> Column:
 
 def read_openalex(spark: SparkSession, path: str) -> DataFrame:
     """JSON pages of works, in `results` or as the root array."""
-    w = json_objects(spark, path).select("rec_id", F.from_json("text", f"struct<{_fields()}>").alias("w")).select("rec_id", "w.*").where("id is not null and coalesce(title, display_name) is not null")
+    return works_to_records(json_objects(spark, path))
+
+
+def works_to_records(texts: DataFrame) -> DataFrame:
+    """rec_id, text (the JSON of a work) -> records; what has no id or no title is no work."""
+    w = texts.select("rec_id", F.from_json("text", f"struct<{_fields()}>").alias("w")).select("rec_id", "w.*").where("id is not null and coalesce(title, display_name) is not null")
     inst = F.flatten(F.transform("authorships", lambda a: F.coalesce(a["institutions"], F.array().cast("array<struct<display_name:string,country_code:string>>"))))
     concepts = F.transform(F.filter("concepts", lambda c: (c["level"] >= 1) & (c["score"] > 0.3)), lambda c: lower(c["display_name"]))
     return _with_countries(_records(w, rec_id=F.col("rec_id"), title=F.coalesce("title", "display_name"), abstract=rebuild_abstract(F.col("abstract_inverted_index")), source=F.col("primary_location.source.display_name"), doi=norm_doi(F.coalesce("doi", F.lit(""))), volume=F.col("biblio.volume"), pages=F.col("biblio.first_page"), doc_type=F.col("type"), language=F.col("language"), key=F.regexp_extract("id", r"([^/]+)$", 1), year=F.coalesce("publication_year", F.lit(0)), cites=F.col("cited_by_count"), authors=F.transform("authorships", lambda a: a["author"]["display_name"]), keywords=F.transform("keywords", lambda k: lower(F.coalesce(k["display_name"], k["keyword"]))), index_terms=concepts, affiliations=F.array_distinct(F.transform(inst, lambda i: i["display_name"])), countries=F.array_distinct(F.transform(inst, lambda i: i["country_code"])), refs=F.transform("referenced_works", lambda r: F.concat(F.lit("DOI openalex:"), F.regexp_extract(r, r"([^/]+)$", 1)))))
