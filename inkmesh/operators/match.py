@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.functions import refs as R
 from inkmesh.functions.text import norm_doi, surname, title_key
+from inkmesh.plans.components import connected_components
+from inkmesh.plans.joins import join_uneven
 from inkmesh.plans.staging import stage
 
 
@@ -65,31 +70,74 @@ def match_refs_first(records: DataFrame) -> DataFrame:
     return out.select("citing", F.coalesce("m1", "m2", "m3").alias("cited")).where("cited <> citing").distinct()
 
 
-def deduplicate(records: DataFrame, max_rounds: int = 100) -> DataFrame:
+#: So many records, or a component of so many, are decided by one task, which sees them in order and holds digests of what they take.
+SETTLED_AT_ONCE = 500_000
+
+
+def deduplicate(records: DataFrame) -> DataFrame:
     """Keep, in the order of rec_id, every record whose DOI and title key no kept record has.
 
-    A dropped record registers nothing, so A(d1,t1) B(d2,t1) C(d2,t3) keeps A and C. This is the lexicographically
-    first independent set over "shares a key": records first in all their groups stay, their neighbours go, and the
-    rest is looked at again, staged each round, until nothing is open.
+    A dropped record registers nothing, so A(d1,t1) B(d2,t1) C(d2,t3) keeps A and C. Records that are first in all
+    their groups stay and their neighbours go, which settles most at once. What is left is walked in order: all of it
+    if it is little, else component by component, a task each; only components of over SETTLED_AT_ONCE go through
+    further rounds until they are smaller. There is no limit to rounds, and each settles some record.
     """
-    keyed = records.select("rec_id", F.array_compact(F.array(F.when(norm_doi(F.coalesce("doi", F.lit(""))) != "", F.concat(F.lit("d:"), norm_doi(F.col("doi")))), F.concat(F.lit("t:"), title_key(F.col("title"), F.col("year"))))).alias("keys"))
+    doi = norm_doi(F.coalesce("doi", F.lit("")))
+    keys = F.array_compact(F.array(F.when(doi != "", F.concat(F.lit("d:"), doi)), F.concat(F.lit("t:"), title_key(F.col("title"), F.col("year")))))
+    keyed = stage(records.select("rec_id", F.transform(keys, lambda k: F.sha2(k.cast("binary"), 256)).alias("keys")), "dedup")
     kept = keyed.where(F.size("keys") == 0).select("rec_id")
-    left = stage(keyed.where(F.size("keys") > 0).select("rec_id", F.explode("keys").alias("k")), "dedup")
-    for _ in range(max_rounds):
-        if not left.take(1):
-            break
-        first = left.groupBy("k").agg(F.min("rec_id").alias("first"))
-        judged = left.join(first, "k").groupBy("rec_id").agg(F.bool_and(F.col("rec_id") == F.col("first")).alias("stays"))
-        stays = stage(judged.where("stays").select("rec_id"), "dedup")
-        kept = kept.unionByName(stays)
-        taken = left.join(stays, "rec_id", "left_semi").select("k").distinct()
-        gone = left.join(taken, "k", "left_semi").select("rec_id").distinct()
-        left = stage(left.join(gone, "rec_id", "left_anti"), "dedup")
-    else:
-        raise RuntimeError("duplicates did not settle")
+    left, rounds = keyed.where(F.size("keys") > 0), 0
+    while n := left.count():
+        if n <= SETTLED_AT_ONCE:
+            return records.join(kept.unionByName(_first_come(left.withColumn("group", F.lit(0).cast("long")))), "rec_id", "left_semi")
+        if rounds:
+            grouped = stage(_groups(left), "dedup")
+            large = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SETTLED_AT_ONCE).select("group")
+            kept = kept.unionByName(stage(_first_come(grouped.join(large, "group", "left_anti")), "dedup"))
+            left = stage(grouped.join(large, "group", "left_semi").drop("group"), "dedup")
+        stays, left = _round(left)
+        kept, rounds = kept.unionByName(stays), rounds + 1
     return records.join(kept, "rec_id", "left_semi")
 
 
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records first under all their keys, what neither they nor their keys have settled)."""
+    rows = left.select("rec_id", F.explode("keys").alias("k"))
+    facts = stage(rows.groupBy("k").agg(F.min("rec_id").alias("first"), F.count(F.lit(1)).alias("n")), "dedup")
+    judged = join_uneven(rows, facts, "k", "n").groupBy("rec_id").agg(F.bool_and(F.col("rec_id") == F.col("first")).alias("stays"))
+    stays = stage(judged.where("stays").select("rec_id"), "dedup")
+    taken = rows.join(stays, "rec_id", "left_semi").select("k").distinct()
+    gone = join_uneven(rows, facts.join(taken, "k", "left_semi").select("k", "n"), "k", "n").select("rec_id").distinct()
+    return stays, stage(left.join(gone, "rec_id", "left_anti"), "dedup")
+
+
+def _groups(left: DataFrame) -> DataFrame:
+    """rec_id, keys with group, the smallest record reachable over shared keys."""
+    rows = left.select("rec_id", F.explode("keys").alias("k"))
+    facts = rows.groupBy("k").agg(F.min("rec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    roots = connected_components(join_uneven(rows, facts, "k", "n").select(F.col("rec_id").alias("a"), F.col("first").alias("b")))
+    return left.join(roots.select(F.col("node").alias("rec_id"), "root"), "rec_id", "left").select("rec_id", "keys", F.coalesce("root", "rec_id").alias("group"))
+
+
+def _first_come(grouped: DataFrame) -> DataFrame:
+    """rec_id, keys, group -> rec_id of the records that, in order, share no key with a kept one of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken = None, set()
+        for batch in batches:
+            out = []
+            for group, rec_id, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != last:
+                    last, taken = group, set()
+                if taken.isdisjoint(keys):
+                    taken.update(keys)
+                    out.append(rec_id)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["rec_id"])
+
+    dealt = grouped.select("group", F.col("rec_id").cast("long").alias("rec_id"), "keys").repartition("group").sortWithinPartitions("group", "rec_id")
+    return dealt.mapInArrow(run, "rec_id long")
+
+
 def append(corpus: DataFrame, more: DataFrame) -> DataFrame:
     """Corpus and more, more's rec_ids moved behind the corpus's, without duplicates."""
     last = corpus.agg(F.coalesce(F.max("rec_id"), F.lit(-1)).alias("m")).first()["m"]

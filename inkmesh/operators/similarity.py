@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmesh.operators.vectors import nearest
+
 
 def _weights(tokens: DataFrame, n: DataFrame) -> DataFrame:
     """(doc, token) -> doc, token, x: (1 + ln tf) (ln((N + 1) / (df + 1)) + 1), each document of length one."""
@@ -51,14 +53,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def embedding_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(vec_id, embedding) and queries of the same columns -> query, vec_id, score, rank of each query's k nearest others.
-
-    Queries are a stated, small set: they are sent to every task if Spark finds them under its broadcast limit.
-    """
-    q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    both = q.join(vectors.select("vec_id", "embedding"), F.col("query") != F.col("vec_id")).select("query", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """(vec_id, embedding) and queries of the same columns -> query, vec_id, score, rank of each query's k nearest others, exactly (see vectors.nearest)."""
+    return nearest(vectors, queries, k)
 
 
 def find_papers(records: DataFrame, query: str, sort: str = "cited", skip: int = 0, n: int = 20) -> DataFrame:

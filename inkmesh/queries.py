@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.functions import text as X
 from inkmesh.functions.terms import similarity_token_rows
-from inkmesh.operators import cleaning, graph, match, network, reports, similarity, stats, themes
+from inkmesh.operators import cleaning, graph, match, network, reports, similarity, stats, themes, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,7 +25,8 @@ def _register(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = "WITH " + (_CTES.rstrip(",\n") + "\n" if sql.startswith("SELECT") else _CTES) + sql
+            ctes = _CTES.rstrip(",\n") + "\n" if sql.startswith("SELECT") else _CTES
+            ORACLE_SQL[f.__name__] = f"WITH {sql}" if sql.startswith("RECURSIVE") else f"WITH {ctes}{sql}"
         return f
 
     return add
@@ -317,7 +318,15 @@ def dedup_title(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@_register()
+_FOLDED = f"regexp_replace(translate(replace(translate({{0}}, '{X._FOLD_FROM}', '{X._FOLD_TO}'), 'ß', 'ss'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', '', 'g')"
+
+
+@_register(
+    f"""RECURSIVE k AS (SELECT doc_id, {_FOLDED.format("coalesce(text, '')")} || '|2000' AS t FROM documents),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, list_filter(['d' || CAST(floor(doc_id / 10) AS BIGINT), CASE WHEN length(t) > 12 THEN md5(t) END], lambda x: x IS NOT NULL) AS keys FROM k),
+r(i, taken, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT) UNION ALL SELECT o.i, CASE WHEN list_has_any(taken, keys) THEN taken ELSE list_concat(taken, keys) END, CASE WHEN list_has_any(taken, keys) THEN NULL ELSE doc_id END FROM r JOIN o ON o.i = r.i + 1)
+SELECT kept AS rec_id FROM r WHERE kept IS NOT NULL"""
+)
 def dedup_greedy(spark: SparkSession, d: str) -> DataFrame:
     """rec_id of the records that the greedy duplicate rule keeps, texts as titles and every tenth id as a DOI."""
     docs = _t(spark, d, "documents")
@@ -340,6 +349,13 @@ def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
     return _round(similarity.embedding_search(v, v.where("vec_id % 20 = 0")), "score")
 
 
+@_register("q AS (SELECT vec_id AS query, embedding AS q FROM embeddings), s AS (SELECT query, vec_id, list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q JOIN embeddings ON query <> vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
+def embedding_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest of every vector, each of which is a query."""
+    v = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    return _round(vectors.nearest(v, v, 3), "score")
+
+
 @_register("v AS (SELECT DISTINCT lower(p_name) AS key FROM part), z AS (SELECT key FROM v WHERE length(key) >= 8) SELECT a.key AS a, b.key AS b FROM z a JOIN z b ON a.key < b.key AND levenshtein(a.key, b.key) = 1 AND a.key[1] = b.key[1] AND regexp_replace(a.key, '[^0-9]', '', 'g') = regexp_replace(b.key, '[^0-9]', '', 'g')")
 def variant_typos(spark: SparkSession, d: str) -> DataFrame:
     names = _t(spark, d, "part").select(F.lower("p_name").alias("key")).distinct()
