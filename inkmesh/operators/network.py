@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkmesh.operators import match, units
 from inkmesh.operators.graph import largest_component
 from inkmesh.plans.spec import MapSpec
+from inkmesh.plans.staging import stage
 
 
 def item_stats(inc: DataFrame, docs: DataFrame) -> DataFrame:
@@ -226,17 +227,18 @@ def build_map(records: DataFrame, spec: MapSpec = MapSpec(), thesaurus: DataFram
     if not records.take(1):
         raise ValueError("there are no records")
     inc, docs, pairs = raw_pairs(records, spec, thesaurus, exclusions)
-    stats = item_stats(inc, docs)
+    inc, docs, pairs = stage(inc, "incidence"), stage(docs, "documents"), stage(pairs, "pairs")  # each is read several times
+    stats = stage(item_stats(inc, docs), "items")
     measure: Column | str = "cites" if spec.unit == "documents" else "occ"
     stats = stats.where(F.col(measure) >= spec.minimum)
     if spec.unit == "terms":
         stats = stats.join(relevant_terms(pairs, spec.term_keep), "key", "left_semi")
         pairs = links_among(pairs, stats)
-    top = rank_items(stats, pairs, measure, spec.max_items)
-    links = links_among(pairs, top, spec.min_link)
+    top = stage(rank_items(stats, pairs, measure, spec.max_items), "top")
+    links = stage(links_among(pairs, top, spec.min_link), "links")
     keys = top.select("key")
     if spec.largest:
-        keys = largest_component(links)
+        keys = stage(largest_component(links), "largest")
         links = links_among(links, keys)
     links = normalise(links, spec.normalisation)
     if len(keys.take(2)) < 2:

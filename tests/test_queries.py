@@ -2,7 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from inkmesh import queries
+from inkmesh import queries, record_queries
+
+QUERIES = queries.QUERIES | record_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | record_queries.ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -16,13 +19,13 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    got = queries.QUERIES[name](spark, DATA).toPandas()
-    if name not in queries.ORACLE_SQL:
+    got = QUERIES[name](spark, DATA).toPandas()
+    if name not in ORACLE_SQL:
         assert len(got) > 0
         return
-    want = con.sql(queries.ORACLE_SQL[name]).df()
+    want = con.sql(ORACLE_SQL[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (got, want))
