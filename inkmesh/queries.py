@@ -406,7 +406,18 @@ def events_per_day(spark: SparkSession, d: str) -> DataFrame:
     return daily_counts(_t(spark, d, "events"))
 
 
-@_register()
+@_register(
+    f"""RECURSIVE {_CTES}y AS (SELECT year, count(*) AS d, row_number() OVER (ORDER BY year) AS i FROM docs GROUP BY year), t AS (SELECT sum(d) AS total, count(*) AS years FROM y),
+k AS (SELECT key, count(*) AS own, count(*)::DOUBLE / total AS p0, least(0.9999, 2.0 * count(*)::DOUBLE / total) AS p1, 0.5 * ln(years) AS step, years FROM so JOIN docs USING (doc), t GROUP BY key, total, years HAVING count(*) >= 5 AND count(*) < total AND years >= 3),
+n AS (SELECT key, year, count(*) AS r FROM so JOIN docs USING (doc) GROUP BY key, year),
+q AS MATERIALIZED (SELECT k.key, y.i, y.year, step, years, -(coalesce(r, 0) * ln(p0) + (d - coalesce(r, 0)) * ln(1 - p0)) AS c0, -(coalesce(r, 0) * ln(p1) + (d - coalesce(r, 0)) * ln(1 - p1)) AS c1 FROM k CROSS JOIN y LEFT JOIN n ON n.key = k.key AND n.year = y.year),
+f(key, i, a0, a1, b0, b1) AS (SELECT key, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST('inf' AS DOUBLE), 0, 0 FROM k UNION ALL SELECT q.key, q.i, least(a0, a1) + c0, least(a0 + step, a1) + c1, CASE WHEN a0 <= a1 THEN 0 ELSE 1 END, CASE WHEN a0 + step < a1 THEN 0 ELSE 1 END FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1),
+fm AS MATERIALIZED (SELECT * FROM f),
+g(key, i, state) AS (SELECT fm.key, fm.i, CASE WHEN a1 < a0 THEN 1 ELSE 0 END FROM fm JOIN k ON k.key = fm.key AND fm.i = k.years UNION ALL SELECT g.key, g.i - 1, CASE WHEN state = 1 THEN b1 ELSE b0 END FROM g JOIN fm ON fm.key = g.key AND fm.i = g.i WHERE g.i > 1),
+o AS (SELECT g.key, g.i, q.year, c0 - c1 AS w, g.i - row_number() OVER (PARTITION BY g.key ORDER BY g.i) AS run FROM g JOIN q ON q.key = g.key AND q.i = g.i WHERE state = 1),
+z AS (SELECT key, run, sum(w) AS strength, min(year) AS "start", max(year) AS "end" FROM o GROUP BY key, run), b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY strength DESC, "start" DESC) AS rn FROM z)
+SELECT key, "start", "end", round(strength, 6) AS strength FROM b WHERE rn = 1 AND strength > 0"""
+)
 def bursts(spark: SparkSession, d: str) -> DataFrame:
     return _round(stats.bursts(sources(spark, d), documents(spark, d), gamma=0.5), "strength")
 
@@ -415,7 +426,7 @@ def _map_links(spark: SparkSession, d: str) -> DataFrame:
     return network.normalise(network.cooccurrence(authors(spark, d), 5))
 
 
-@_register()
+@_register(f"RECURSIVE {_CTES}{_PAIRS.format('(SELECT * FROM au WHERE key IN (SELECT key FROM au GROUP BY key HAVING count(*) >= 5))')}, e AS MATERIALIZED (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs), r(x, y) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT x AS key, min(y) AS component FROM r GROUP BY x")
 def components_of_map(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(_map_links(spark, d))
 
