@@ -107,6 +107,12 @@ def swapped_features(words: set[str], groups: Sequence[Sequence[str]]) -> Iterat
         yield [b, *come], [a, *go]
 
 
+def balanced(label: np.ndarray, weight: np.ndarray, power: float = 1.0) -> np.ndarray:
+    """The weights, those of label 1 times (weight of label 0 / weight of label 1)^power; as they are where one class is missing."""
+    pos, neg = float((weight * label).sum()), float((weight * (1 - label)).sum())
+    return np.where(label == 1, weight * (neg / pos) ** power, weight) if pos > 0 and neg > 0 else weight
+
+
 def fit_weights(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, n_words: int, groups: list[list[int]], l1: float = 2e-4, swap: float = 1.0, rounds: int = 300, swaps: list[tuple[Sequence[int], float]] | None = None) -> tuple[np.ndarray, float]:
     """Minimise mean weighted log loss + l1 |w| + swap * mean over swapped texts of (score change)^2, by FISTA.
 
@@ -155,13 +161,14 @@ def fit_weights(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, n
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, most: int = 20_000, vocabulary: int = 3000, least: int = 8, identity: Sequence[Sequence[str]] = IDENTITY_TERMS, swap: float = 1.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, most: int = 20_000, vocabulary: int = 3000, least: int = 8, identity: Sequence[Sequence[str]] = IDENTITY_TERMS, swap: float = 1.0, balance: float = 1.0, l1: float = 1e-4) -> ToxicityModel:
     """Fit on at most `most` labelled documents (labels.toxic), never on the held-out fold.
 
     Words and stems are chosen in Spark: of those in `least` (8) texts or more, the `vocabulary` (3000) with the largest
     difference in frequency between the classes, in standard errors; identity terms join them always. Near copies
-    of one label, by wide sketches of the sample (see copies), share the weight of one text. Swaps are counted in Spark, each with all the
-    features it changes. Without labels the model scores 0.5 everywhere short of the threshold; with one class only, it
+    of one label, by wide sketches of the sample (see copies), share the weight of one text. With balance 1 both classes
+    weigh the same together, with 0 as many as they are, between them by the power. Swaps are counted in Spark, each with
+    all the features it changes. Without labels the model scores 0.5 everywhere short of the threshold; with one class only, it
     scores that class's rate.
     """
 
@@ -210,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, most:
     rows = [np.asarray(x, np.int32) for x in found.pop("hits")]
     changes: pd.DataFrame = weighted.select("text", "v").mapInArrow(in_slices(change), "change array<int>, v double").groupBy("change").agg(F.sum("v").alias("v")).orderBy("change").toPandas()
     swaps = [(list(map(int, k)), v) for k, v in zip(changes["change"], changes["v"])]
-    w, bias = fit_weights(rows, found["label"].to_numpy(float), found["v"].to_numpy(float), len(index), [], swap=swap, swaps=swaps)
+    label = found["label"].to_numpy(float)
+    w, bias = fit_weights(rows, label, balanced(label, found["v"].to_numpy(float), balance), len(index), [], l1=l1, swap=swap, swaps=swaps)
     give_back()
     return ToxicityModel({t: float(w[k]) for t, k in index.items() if w[k]}, bias)
 
