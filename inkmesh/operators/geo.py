@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions.text import ascii_fold, lower, title_case, trim
@@ -254,10 +254,57 @@ def collaboration(inc: DataFrame) -> DataFrame:
     return cooccurrence(inc)
 
 
-def profile(inc: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """One row of one country: docs, cites, h, shared_docs."""
-    from inkmesh.operators.network import partner_counts
-    from inkmesh.operators.stats import actor_table
+def countries_of(records: DataFrame, aliases: DataFrame | None = None, keep_unknown: bool = False) -> DataFrame:
+    """doc, country, countries: each record's countries under one name each, and how many it has; those of no known spelling go unless kept."""
+    each = records.select(F.col("rec_id").alias("doc"), F.explode("countries").alias("country"))
+    named = normalise_countries(each, "country", aliases, keep_unknown).where("country <> ''").distinct()
+    return named.join(named.groupBy("doc").agg(F.count(F.lit(1)).alias("countries")), "doc")
 
-    own = inc.join(inc.where(F.col("key") == key).select("doc"), "doc", "left_semi")
-    return actor_table(own, docs).where(F.col("key") == key).join(partner_counts(own, docs).select("key", "shared_docs"), "key").select("key", "docs", "cites", "h", "shared_docs")
+
+def country_summary(records: DataFrame, countries: DataFrame | None = None) -> DataFrame:
+    """country, docs, cites, h, shared_docs, first_year, last_year, growth (a year, compound; 0 within one year or without years)."""
+    from inkmesh.operators.stats import h_index
+
+    own = countries_of(records) if countries is None else countries
+    docs = records.select(F.col("rec_id").alias("doc"), F.when(F.col("year") != 0, F.col("year")).alias("year"), F.coalesce("cites", F.lit(0)).alias("cites"))
+    each = own.join(docs, "doc")
+    base = each.groupBy("country").agg(F.count(F.lit(1)).alias("docs"), F.sum("cites").cast("long").alias("cites"), F.count_if(F.col("countries") > 1).alias("shared_docs"))
+    years = each.where("year is not null").groupBy("country", "year").agg(F.count(F.lit(1)).alias("n"))
+    ends = years.groupBy("country").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min_by("n", "year").alias("n0"), F.max_by("n", "year").alias("n1"))
+    span = F.col("last_year") - F.col("first_year")
+    growth = F.when(span > 0, F.pow(F.col("n1") / F.col("n0"), 1 / span) - 1).otherwise(0.0)
+    return base.join(h_index(each, ["country"]), "country").join(ends, "country", "left").select("country", "docs", "cites", "h", "shared_docs", "first_year", "last_year", growth.alias("growth"))
+
+
+def country_years(records: DataFrame, countries: DataFrame | None = None) -> DataFrame:
+    """country, year, docs, cites_per_doc: every year from a country's first to its last; years without documents hold zeros."""
+    own = countries_of(records) if countries is None else countries
+    dated = records.where("year is not null and year <> 0").select(F.col("rec_id").alias("doc"), "year", F.coalesce("cites", F.lit(0)).alias("cites"))
+    n = own.join(dated, "doc").groupBy("country", "year").agg(F.count(F.lit(1)).alias("docs"), F.avg("cites").alias("cites_per_doc"))
+    every = n.groupBy("country").agg(F.explode(F.sequence(F.min("year"), F.max("year"))).alias("year"))
+    return every.join(n, ["country", "year"], "left").select("country", "year", F.coalesce("docs", F.lit(0).cast("long")).alias("docs"), F.coalesce("cites_per_doc", F.lit(0.0)).alias("cites_per_doc"))
+
+
+#: How many of each unit a country's profile names.
+PROFILE = {"keywords": 12, "orgs": 6, "authors": 6, "sources": 5}
+
+
+def country_tops(records: DataFrame, countries: DataFrame | None = None, tops: dict[str, int] = PROFILE) -> DataFrame:
+    """country, what, place, key, label, docs: the most frequent units of every country's records, equals by key.
+
+    Organisations count in records of one country only, as records do not say which of them lies where.
+    """
+    from inkmesh.operators.units import first_labels, incidence
+
+    own = countries_of(records) if countries is None else countries
+    parts = []
+    for what, most in tops.items():
+        inc = incidence(records, what)
+        n = inc.join(own.where("countries = 1") if what == "orgs" else own, "doc").groupBy("country", "key").agg(F.count(F.lit(1)).alias("docs"))
+        # rows beyond the limit go before the shuffle, so a country with most of all keys is no single task's load
+        ranked = n.withColumn("place", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("docs"), "key"))).where(F.col("place") <= most)
+        parts.append(ranked.join(first_labels(inc), "key").select("country", F.lit(what).alias("what"), F.col("place").cast("long").alias("place"), "key", "label", "docs"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -246,3 +246,32 @@ def build_map(records: DataFrame, spec: MapSpec = MapSpec(), thesaurus: DataFram
     nodes = keys.join(stats, "key").join(total_link_strength(links), "key", "left").join(normalised_citations(docs, inc.join(keys, "key", "left_semi")), "key", "left").join(units.first_labels(inc), "key")
     nodes = nodes.select("key", "label", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("tls", F.lit(0.0)).alias("total_link_strength"), F.col("occ").alias("occurrences"), F.col("cites").alias("citations"), "avg_year", (F.col("cites") / F.col("occ")).alias("avg_citations"), "norm_citations")
     return nodes, links
+
+
+def records_flow(found: DataFrame, kept: DataFrame, spec: MapSpec = MapSpec(), thesaurus: DataFrame | None = None, exclusions: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """One row of counts, from the records found to the items of their map.
+
+    found: records as read, kept: those left by deduplication (rec_id). identified = duplicates + screened; screened =
+    outside_years + without_units + analysed; items_found of which items_meeting reach the minimum (of citations, too,
+    where the analysis asks for them), items_excluded of these by hand (exclusions); items_in_map counts nodes, null
+    where no map is given. A record counts as analysed if it holds a unit. An empty table gives zeros. Counts are aggregates, so a task that runs twice counts once.
+    """
+    one = kept.select("rec_id").distinct()
+    here = found.join(one, "rec_id", "left_semi").select("*", units.in_years(F.col("year"), spec.year_from, spec.year_to).alias("in_years"))
+    rec = here.where("in_years").drop("in_years")
+    inc = units.incidence(rec, spec.unit, thesaurus)
+    cites = rec.select(F.col("rec_id").alias("doc"), F.coalesce("cites", F.lit(0)).alias("c"))
+    items = inc.join(cites, "doc").groupBy("key").agg(F.count(F.lit(1)).alias("occ"), F.sum("c").alias("cites"))
+    by_cites = spec.analysis in ("citation", "coupling")
+    measure = F.col("cites") if spec.unit == "documents" else F.col("occ")
+    meets = (measure >= spec.minimum) & ((F.col("cites") >= spec.min_cites) if by_cites else F.lit(True))
+    if exclusions is not None:
+        items = items.join(exclusions.select("key").distinct().withColumn("out", F.lit(True)), "key", "left")
+    else:
+        items = items.withColumn("out", F.lit(None).cast("boolean"))
+    long = lambda c: c.cast("long")
+    row = found.agg(F.count(F.lit(1)).alias("identified")).join(here.agg(F.count(F.lit(1)).alias("screened"), F.count_if(~F.col("in_years")).alias("outside_years")))
+    row = row.join(inc.agg(F.count_distinct("doc").alias("analysed"))).join(items.agg(F.count(F.lit(1)).alias("items_found"), F.count_if(meets).alias("items_meeting"), F.count_if(meets & F.col("out")).alias("items_excluded")))
+    row = row.join(nodes.agg(F.count(F.lit(1)).alias("items_in_map"))) if nodes is not None else row.withColumn("items_in_map", long(F.lit(None)))
+    duplicates, without = F.col("identified") - F.col("screened"), F.col("screened") - F.col("outside_years") - F.col("analysed")
+    return row.select("identified", duplicates.alias("duplicates"), "screened", "outside_years", without.alias("without_units"), "analysed", "items_found", "items_meeting", "items_excluded", "items_in_map")

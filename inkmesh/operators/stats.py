@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmesh.functions import refs as R
+from inkmesh.functions.text import bib_clean
 from inkmesh.plans.joins import join_uneven
 from inkmesh.plans.scan import running
 
@@ -151,14 +153,41 @@ def rpys(years: DataFrame) -> DataFrame:
     A peak deviates upwards, no less than the year before and more than the year after.
     """
     n = years.where(_known()).groupBy("year").agg(F.count(F.lit(1)).alias("refs"))
-    every = n.agg(F.min("year").alias("a"), F.max("year").alias("b")).select(F.explode(F.sequence("a", "b")).alias("year"))
-    full = every.join(n, "year", "left").select("year", F.coalesce("refs", F.lit(0).cast("long")).alias("refs"))
+    return _deviations(n, n.agg(F.min("year").alias("a"), F.max("year").alias("b")))
+
+
+def _deviations(n: DataFrame, ends: DataFrame) -> DataFrame:
+    """(year, refs) and one row (a, b) -> the years a to b, gaps as zeros, with deviation and peak."""
+    full = ends.select(F.explode(F.sequence("a", "b")).alias("year")).join(n, "year", "left").select("year", F.coalesce("refs", F.lit(0).cast("long")).alias("refs"))
     w = Window.orderBy("year")  # a row a year
     dev = full.withColumn("deviation", F.col("refs") - F.percentile("refs", 0.5).over(w.rowsBetween(-2, 2)))
     before, after = F.lag("deviation").over(w), F.lead("deviation").over(w)
     return dev.withColumn("peak", (F.col("deviation") > 0) & (before.isNull() | (before <= F.col("deviation"))) & (after.isNull() | (after < F.col("deviation"))))
 
 
+def rpys_peaks(records: DataFrame, first: int | None = None, last: int | None = None, top: int = 8) -> DataFrame:
+    """year, refs, deviation, top_key, top_ref, top_refs: the `top` peaks of the years that references name, most cited reference each.
+
+    References newer than the newest publication do not count. Without `first` the years begin where 1 % of the dated
+    references are passed (nearest rank), without `last` they end at the newest; swapped bounds are turned round. A
+    reference is its first 80 letters and digits; equals in citations go to the smaller key, equals in deviation to the
+    earlier year. No dated reference: no row.
+    """
+    cited = records.select("rec_id", "year", F.explode("refs").alias("ref")).select("rec_id", R.ref_year(F.col("ref")).alias("y"), "ref").where("y > 0")
+    newest = records.agg(F.max("year").alias("newest"))
+    dated = cited.join(F.broadcast(newest)).where(F.coalesce("newest", F.lit(0)).isin(0) | (F.col("y") <= F.col("newest")))
+    n = dated.groupBy(F.col("y").alias("year")).agg(F.count(F.lit(1)).alias("refs"))
+    run = n.withColumn("up_to", F.sum("refs").over(Window.orderBy("year"))).withColumn("all", F.sum("refs").over(Window.partitionBy()))  # a row a year
+    ends = run.where(F.col("up_to") > F.floor((F.col("all") - 1) * 0.01)).agg(F.min("year").alias("a"), F.max("year").alias("b")).where("a is not null")
+    a, b = F.lit(first or None).cast("int"), F.lit(last or None).cast("int")
+    ends = ends.select(F.coalesce(a, "a").alias("a"), F.coalesce(b, "b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    peaks = _deviations(n, ends).where("peak").orderBy(F.desc("deviation"), "year").limit(top).drop("peak")
+    own = dated.join(F.broadcast(peaks.select(F.col("year").alias("y"))), "y", "left_semi").select(F.col("y").alias("year"), "rec_id", bib_clean(F.col("ref")).alias("ref"))
+    each = own.groupBy("year", R.alnum_lower(F.col("ref"), 80).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min_by("ref", F.struct("rec_id", "ref")).alias("ref"))
+    best = each.groupBy("year").agg(F.min_by(F.struct("key", "ref", "n"), F.struct(-F.col("n"), "key")).alias("t"))
+    return peaks.join(best, "year", "left").select("year", "refs", "deviation", F.col("t.key").alias("top_key"), F.col("t.ref").alias("top_ref"), F.col("t.n").alias("top_refs"))
+
+
 def _share_ratio(a: str, b: str, na: Column, nb: Column) -> Column:
     return F.log2(((F.col(b) + 0.5) / nb) / ((F.col(a) + 0.5) / na))
 
@@ -250,11 +279,6 @@ def cluster_info(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return x.select("cluster", "size", "weight", "centrality", "density", F.when(far & thick, "motor").when(thick, "niche").when(far, "basic").otherwise("emerging or declining").alias("quadrant"))
 
 
-def records_flow(identified: int, kept: DataFrame, screened: DataFrame, analysed: DataFrame) -> DataFrame:
-    """One row of counts on the way from what was identified to what is analysed."""
-    return kept.agg((F.lit(identified) - F.count(F.lit(1))).alias("duplicates"), F.count(F.lit(1)).alias("screened")).join(screened.agg(F.count(F.lit(1)).alias("in_years"))).join(analysed.agg(F.count_distinct("doc").alias("analysed")))
-
-
 def bursts(inc: DataFrame, docs: DataFrame, least: int = 5, s: float = 2.0, gamma: float = 1.0) -> DataFrame:
     """key, start, end, strength: the strongest burst of each term, by a two-state automaton over the observed years.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from inkmesh import queries as Q
 from inkmesh.functions import refs as R
 from inkmesh.functions.terms import STOP_WORDS, extract_terms
-from inkmesh.operators import cleaning, geo, match, network, themes, units
+from inkmesh.operators import cleaning, geo, match, network, stats, themes, units
 from inkmesh.plans.spec import MapSpec
 from inkmesh.plans.staging import stage
 
@@ -256,3 +256,61 @@ def document_terms(spark: SparkSession, d: str) -> DataFrame:
     """The terms of every document: how many, and the SHA-256 of them in order."""
     terms = Q._t(spark, d, "documents").select("doc_id", F.array_sort(extract_terms(F.lit(""), F.col("text"))).alias("t")).where(F.size("t") > 0)
     return terms.select("doc_id", F.size("t").cast("long").alias("terms"), F.sha2(F.array_join("t", "|").cast("binary"), 256).alias("digest"))
+
+
+_NAMED = f"cn AS (SELECT *, count(*) OVER (PARTITION BY doc) AS countries FROM (SELECT DISTINCT doc, {_LIST(COUNTRIES)}[nk + 1] AS country FROM na))"
+
+
+@_register(
+    f"""{_NAMED}, e AS (SELECT * FROM cn JOIN docs USING (doc)), r AS (SELECT country, cites, row_number() OVER (PARTITION BY country ORDER BY cites DESC) AS rn FROM e), h AS (SELECT country, count(*) FILTER (WHERE cites >= rn) AS h FROM r GROUP BY 1),
+y AS (SELECT country, year, count(*) AS n FROM e GROUP BY 1, 2), g AS (SELECT country, min(year) AS first_year, max(year) AS last_year, arg_min(n, year) AS n0, arg_max(n, year) AS n1 FROM y GROUP BY 1)
+SELECT country, count(*) AS docs, CAST(sum(cites) AS BIGINT) AS cites, h, count(*) FILTER (WHERE countries > 1) AS shared_docs, first_year, last_year, round(CASE WHEN last_year > first_year THEN pow(n1 / n0, 1.0 / (last_year - first_year)) - 1 ELSE 0.0 END, 9) AS growth FROM e JOIN h USING (country) JOIN g USING (country) GROUP BY country, h, first_year, last_year, n0, n1"""
+)
+def country_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Every country's records, citations, h index, shared records and growth."""
+    return Q._round(geo.country_summary(records(spark, d)), "growth", digits=9)
+
+
+@_register(
+    f"""{_NAMED}, n AS (SELECT country, year, count(*) AS docs, avg(cites) AS c FROM cn JOIN docs USING (doc) GROUP BY 1, 2), s AS (SELECT country, CAST(unnest(range(min(year), max(year) + 1)) AS INT) AS year FROM n GROUP BY 1)
+SELECT country, year, coalesce(docs, 0) AS docs, round(coalesce(c, 0.0), 6) AS cites_per_doc FROM s LEFT JOIN n USING (country, year)"""
+)
+def country_years(spark: SparkSession, d: str) -> DataFrame:
+    return Q._round(geo.country_years(records(spark, d)), "cites_per_doc")
+
+
+@_register(
+    f"""{_NAMED}, u AS (SELECT 'keywords' AS what, doc, key FROM kw UNION ALL SELECT 'authors', doc, key FROM au UNION ALL SELECT 'sources', doc, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') FROM docs), n AS (SELECT country, what, key, count(*) AS docs FROM cn JOIN u USING (doc) GROUP BY ALL)
+SELECT country, what, place, key, docs FROM (SELECT *, row_number() OVER (PARTITION BY country, what ORDER BY docs DESC, key) AS place FROM n) WHERE place <= CASE what WHEN 'keywords' THEN 12 WHEN 'authors' THEN 6 ELSE 5 END"""
+)
+def country_tops(spark: SparkSession, d: str) -> DataFrame:
+    """Every country's most frequent keywords, authors and sources; records of orders name no organisations."""
+    return geo.country_tops(records(spark, d)).drop("label")
+
+
+@_register(
+    f"""rs AS (SELECT doc, lower(surname || initial) || year || regexp_replace(lower(source), '[^a-z0-9]', '', 'g') || 'v' || volume || 'p' || page || coalesce('doi' || replace(replace(doi, '.', ''), '/', ''), '') AS key, year FROM cr
+UNION ALL SELECT doc, 'p' || translate(CAST(p AS VARCHAR), {_NUM}, {_ABC}) || 'q' || (1950 + p % 50) || 'partsv' || (p % 9 + 1) || 'p' || p, CAST(1950 + p % 50 AS INT) FROM ln),
+dt AS (SELECT * FROM rs WHERE year <= (SELECT max(year) FROM docs)), n AS (SELECT year, count(*) AS refs, sum(count(*)) OVER (ORDER BY year) AS upto, sum(count(*)) OVER () AS total FROM dt GROUP BY year),
+ends AS (SELECT min(year) AS a, max(year) AS b FROM n WHERE upto > floor((total - 1) * 0.01)), f AS (SELECT y.year, coalesce(refs, 0) AS refs FROM (SELECT unnest(range(a, b + 1)) AS year FROM ends) y LEFT JOIN n ON n.year = y.year),
+dv AS (SELECT year, refs, refs - quantile_cont(refs, 0.5) OVER (ORDER BY year ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS deviation FROM f), lg AS (SELECT *, lag(deviation) OVER (ORDER BY year) AS p, lead(deviation) OVER (ORDER BY year) AS q FROM dv),
+pk AS (SELECT year, refs, deviation FROM lg WHERE deviation > 0 AND coalesce(p <= deviation, true) AND coalesce(q < deviation, true) ORDER BY deviation DESC, year LIMIT 8),
+t AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, key) AS rn FROM (SELECT year, key, count(*) AS n FROM dt GROUP BY 1, 2))
+SELECT CAST(pk.year AS INT) AS year, refs, deviation, key AS top_key, n AS top_refs FROM pk JOIN t ON t.year = pk.year AND rn = 1"""
+)
+def rpys_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """The eight strongest peaks of the years that records cite, each with its most cited reference."""
+    return stats.rpys_peaks(records(spark, d)).drop("top_ref")
+
+
+@_register(
+    """rc AS (SELECT * FROM docs WHERE doc IN (SELECT min(doc) FROM docs GROUP BY source, year)), yr AS (SELECT * FROM rc WHERE year BETWEEN 1994 AND 1997), u AS (SELECT kw.* FROM kw JOIN yr USING (doc)), i AS (SELECT key, count(*) AS occ FROM u GROUP BY 1)
+SELECT (SELECT count(*) FROM docs) AS identified, (SELECT count(*) FROM docs) - (SELECT count(*) FROM rc) AS duplicates, (SELECT count(*) FROM rc) AS screened, (SELECT count(*) FROM rc) - (SELECT count(*) FROM yr) AS outside_years, (SELECT count(*) FROM yr) - (SELECT count(DISTINCT doc) FROM u) AS without_units,
+(SELECT count(DISTINCT doc) FROM u) AS analysed, (SELECT count(*) FROM i) AS items_found, (SELECT count(*) FROM i WHERE occ >= 5) AS items_meeting, (SELECT count(*) FROM i WHERE occ >= 5 AND key IN ('brand#4', 'brand#11', 'brand#23')) AS items_excluded"""
+)
+def flow_of_records(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of the records of a keyword map, where a customer's orders of one year count as copies of the first."""
+    found = records(spark, d)
+    kept = found.groupBy("source", "year").agg(F.min("rec_id").alias("rec_id"))
+    out = spark.createDataFrame([("brand#4",), ("brand#11",), ("brand#23",)], "key string")
+    return network.records_flow(found, kept, MapSpec(year_from=1994, year_to=1997), exclusions=out).drop("items_in_map")
