@@ -101,3 +101,12 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     _forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new, empty folder below the shared one, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/inkmesh-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(place)
+    _forget_at_exit(spark, path)
+    return path

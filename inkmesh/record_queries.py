@@ -14,8 +14,9 @@ from inkmesh import queries as Q
 from inkmesh.functions import refs as R
 from inkmesh.functions.terms import STOP_WORDS, extract_terms
 from inkmesh.operators import cleaning, geo, match, network, stats, themes, units
+from inkmesh.operators.merges import MergeLog
 from inkmesh.plans.spec import MapSpec
-from inkmesh.plans.staging import stage
+from inkmesh.plans.staging import new_folder, stage
 
 QUERIES: dict[str, Q.Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -314,3 +315,21 @@ def flow_of_records(spark: SparkSession, d: str) -> DataFrame:
     kept = found.groupBy("source", "year").agg(F.min("rec_id").alias("rec_id"))
     out = spark.createDataFrame([("brand#4",), ("brand#11",), ("brand#23",)], "key string")
     return network.records_flow(found, kept, MapSpec(year_from=1994, year_to=1997), exclusions=out).drop("items_in_map")
+
+
+@_register(
+    """g AS (SELECT DISTINCT lower(p_brand) AS key, 'size ' || (p_size % 5) AS replace_by FROM part), m1 AS (SELECT key, max(replace_by) AS replace_by FROM g GROUP BY key), m2 AS (SELECT DISTINCT lower(p_type) AS key, '' AS replace_by FROM part WHERE p_size > 45 UNION SELECT key, '' FROM m1 WHERE key LIKE '%1'),
+v2 AS (SELECT * FROM m1 WHERE key NOT IN (SELECT key FROM m2) UNION ALL SELECT * FROM m2), v4 AS (SELECT * FROM m1 WHERE key NOT LIKE '%2')
+SELECT 1 AS version, * FROM m1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM m1 UNION ALL SELECT 4, * FROM v4"""
+)
+def thesaurus_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Brands merged by size, kinds and some brands ignored, that undone, some merges taken back: the thesaurus as of each version."""
+    log = MergeLog(spark, new_folder(spark, "merges"))
+    part = Q._t(spark, d, "part")
+    brands = part.select(F.lower("p_brand").alias("key"), F.concat(F.lit("size "), (F.col("p_size") % 5).cast("string")).alias("replace_by"))
+    log.merge(brands)
+    log.ignore(part.where("p_size > 45").select(F.lower("p_type").alias("key")).unionByName(log.as_of(1).where("key like '%1'").select("key")))
+    log.undo()
+    log.merge(log.as_of().where("key like '%2'").select("key", F.col("key").alias("replace_by")))
+    out = [log.as_of(v).select(F.lit(v).cast("int").alias("version"), "key", "replace_by") for v in (1, 2, 3, 4)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
