@@ -269,7 +269,7 @@ SELECT country, count(*) AS docs, CAST(sum(cites) AS BIGINT) AS cites, h, count(
 )
 def country_summary(spark: SparkSession, d: str) -> DataFrame:
     """Every country's records, citations, h index, shared records and growth."""
-    return Q._round(geo.country_summary(records(spark, d)), "growth", digits=9)
+    return Q._round(geo.country_summary(stage(records(spark, d), "records")), "growth", digits=9)
 
 
 @_register(
@@ -277,7 +277,7 @@ def country_summary(spark: SparkSession, d: str) -> DataFrame:
 SELECT country, year, coalesce(docs, 0) AS docs, round(coalesce(c, 0.0), 6) AS cites_per_doc FROM s LEFT JOIN n USING (country, year)"""
 )
 def country_years(spark: SparkSession, d: str) -> DataFrame:
-    return Q._round(geo.country_years(records(spark, d)), "cites_per_doc")
+    return Q._round(geo.country_years(stage(records(spark, d), "records")), "cites_per_doc")
 
 
 @_register(
@@ -286,7 +286,7 @@ SELECT country, what, place, key, docs FROM (SELECT *, row_number() OVER (PARTIT
 )
 def country_tops(spark: SparkSession, d: str) -> DataFrame:
     """Every country's most frequent keywords, authors and sources; records of orders name no organisations."""
-    return geo.country_tops(records(spark, d)).drop("label")
+    return geo.country_tops(stage(records(spark, d), "records")).drop("label")
 
 
 @_register(
@@ -301,7 +301,7 @@ SELECT CAST(pk.year AS INT) AS year, refs, deviation, key AS top_key, n AS top_r
 )
 def rpys_peaks(spark: SparkSession, d: str) -> DataFrame:
     """The eight strongest peaks of the years that records cite, each with its most cited reference."""
-    return stats.rpys_peaks(records(spark, d)).drop("top_ref")
+    return stats.rpys_peaks(stage(records(spark, d), "records")).drop("top_ref")
 
 
 @_register(
@@ -311,7 +311,7 @@ SELECT (SELECT count(*) FROM docs) AS identified, (SELECT count(*) FROM docs) -
 )
 def flow_of_records(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of the records of a keyword map, where a customer's orders of one year count as copies of the first."""
-    found = records(spark, d)
+    found = stage(records(spark, d), "records")
     kept = found.groupBy("source", "year").agg(F.min("rec_id").alias("rec_id"))
     out = spark.createDataFrame([("brand#4",), ("brand#11",), ("brand#23",)], "key string")
     return network.records_flow(found, kept, MapSpec(year_from=1994, year_to=1997), exclusions=out).drop("items_in_map")
