@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.functions import text as X
 from inkmesh.functions.terms import similarity_token_rows
-from inkmesh.operators import cleaning, graph, match, network, reports, similarity, stats, themes, vectors
+from inkmesh.operators import cleaning, density, graph, match, network, reports, similarity, stats, themes, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,3 +574,24 @@ def text_values(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").alias("doc"), X.norm_doi(written).alias("doi"), X.to_int(F.concat(F.lit(" "), key, F.lit(" pp."))).alias("number"), X.format_int(F.floor("o_totalprice")).alias("pretty"),
         X.first_number(F.col("o_orderpriority")).alias("first_number"), X.is_digits(F.concat(key, F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("a"))).alias("digits"),
     )
+
+
+def _box_sql(source: str, name: str, by: str, along: str, r: int) -> str:
+    return f"{name} AS (SELECT layer, x, y, sum(value) OVER (PARTITION BY layer, {by} ORDER BY {along} ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) / {2 * r + 1} AS value FROM {source})"
+
+
+_PASSES = (("y", "x"), ("y", "x"), ("y", "x"), ("x", "y"), ("x", "y"), ("x", "y"))
+
+
+@_register(
+    """pt AS (SELECT l_returnflag AS layer, l_quantity AS x, l_extendedprice / 1000 AS y, CAST(l_linenumber AS DOUBLE) AS w FROM lineitem), bx AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pt),
+sc AS (SELECT *, least(159 * (1 - 2 * 0.05::DOUBLE) / (x1 - x0), 89 * (1 - 2 * 0.05::DOUBLE) / (y1 - y0)) AS s FROM bx), px AS (SELECT layer, CAST(round((x - (x0 + x1) / 2) * s + 159 / 2) AS INT) AS x, CAST(round((y - (y0 + y1) / 2) * s + 89 / 2) AS INT) AS y, w FROM pt, sc),
+gr AS (SELECT layer, CAST(unnest(range(160)) AS INT) AS x, y FROM (SELECT layer, CAST(unnest(range(90)) AS INT) AS y FROM (SELECT DISTINCT layer FROM px))),
+b0 AS (SELECT layer, x, y, sum(coalesce(w, 0.0)) AS value FROM gr LEFT JOIN px USING (layer, x, y) GROUP BY 1, 2, 3), """
+    + ", ".join(_box_sql(f"b{k}", f"b{k + 1}", by, along, 4) for k, (by, along) in enumerate(_PASSES))
+    + " SELECT layer, x, y, round(value, 4) AS value FROM b6"
+)
+def density_raster(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders by quantity and price on a raster of 160 by 90 cells, a layer a return flag; a line weighs its number."""
+    points = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("layer"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_linenumber").cast("double").alias("w"))
+    return _round(density.density(density.fitted(points, 160, 90), 160, 90, 4.0, "w", ("layer",)), "value", digits=4)
