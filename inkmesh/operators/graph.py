@@ -287,6 +287,20 @@ def stability(runs: DataFrame) -> DataFrame:
     return size.groupBy("resolution").agg(F.avg("k").alias("clusters"), F.avg("share").alias("largest_share")).join(ari, "resolution", "left")
 
 
+def best_resolution(sweep: DataFrame, base: float = 1.0) -> DataFrame:
+    """One row, resolution: of (resolution, clusters, mean_ari) that whose runs agree best; no row if none has two clusters.
+
+    Resolutions stand in ascending order. One takes the lead if its agreement is higher by over 0.01, or no lower than
+    0.01 below while it is nearer to base, by ratio.
+    """
+    rows = sweep.where(F.round("clusters") >= 2).select("resolution", F.coalesce("mean_ari", F.lit(1.0)).alias("ari"))
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct("resolution", "ari"))).alias("r")).where(F.size("r") > 0)  # a row a resolution
+    off = lambda x: F.abs(F.log(x["resolution"] / base))
+    more = lambda b, x: x["ari"] - b["ari"]
+    best = F.aggregate("r", F.get("r", F.lit(0)), lambda b, x: F.when((more(b, x) > 0.01) | ((more(b, x) > -0.01) & (off(x) < off(b))), x).otherwise(b))
+    return listed.select(best["resolution"].alias("resolution"))
+
+
 def place(links: DataFrame, starts: int = 4, dims: int = 2, attraction: float = 2.0, repulsion: float = 1.0, seed: int = 0) -> DataFrame:
     """(a, b, w, s) -> key, x, y (z): the best of several layouts, one start a task. For networks of up to a few thousand items."""
     keys, a, b, _, s = _gathered(links)

@@ -43,10 +43,11 @@ def ris_text(records: DataFrame) -> DataFrame:
 
 
 def scopus_table(records: DataFrame) -> DataFrame:
-    """The columns of a CSV export."""
+    """The 18 columns of a CSV export: authors by surname and initials, and in full."""
     join = lambda c: F.array_join(F.coalesce(c, _no()), "; ")
     place = F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.coalesce("affiliations", _no())), F.size(F.coalesce("countries", _no())), F.lit(1)) - 1), lambda i: F.concat_ws(", ", F.get(F.coalesce("affiliations", _no()), i), F.get(F.coalesce("countries", _no()), i)))
-    return records.select(join("authors").alias("Authors"), F.col("title").alias("Title"), F.col("year").alias("Year"), F.col("source").alias("Source title"), F.col("volume").alias("Volume"), F.col("pages").alias("Page start"), F.col("cites").alias("Cited by"), F.col("doi").alias("DOI"), join(place).alias("Affiliations"), F.col("abstract").alias("Abstract"), join("keywords").alias("Author Keywords"), join("index_terms").alias("Index Keywords"), join("refs").alias("References"), F.col("doc_type").alias("Document Type"), F.col("publisher").alias("Publisher"), F.col("language").alias("Language of Original Document"), F.col("key").alias("EID"))
+    short = F.transform(F.coalesce("authors", _no()), wos_author)
+    return records.select(join(short).alias("Authors"), join("authors").alias("Author full names"), F.col("title").alias("Title"), F.col("year").alias("Year"), F.col("source").alias("Source title"), F.col("volume").alias("Volume"), F.col("pages").alias("Page start"), F.col("cites").alias("Cited by"), F.col("doi").alias("DOI"), join(place).alias("Affiliations"), F.col("abstract").alias("Abstract"), join("keywords").alias("Author Keywords"), join("index_terms").alias("Index Keywords"), join("refs").alias("References"), F.col("doc_type").alias("Document Type"), F.col("language").alias("Language of Original Document"), F.col("publisher").alias("Publisher"), F.col("key").alias("EID"))
 
 
 def write_records(records: DataFrame, path: str, kind: str) -> None:
