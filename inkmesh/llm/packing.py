@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from functools import cache
+from functools import cache, cached_property
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,12 @@ PLACED = PIECES + ", sequence_id long, offset long"
 _SPLIT = re.compile(r"[ \t\n\r]+")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-# The tokenizer's own pattern of parts, for lower-case text of code points up to U+00FF.
-_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-_PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\t-\r \x85\xa0]+")
+# The tokenizer's own classes of characters, for code points up to U+00FF, and their lower case.
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_LOWER = np.frombuffer(bytes(range(256)).decode("latin-1").lower().encode("latin-1"), np.uint8)
+_KIND = np.full(256, _OTHER, np.uint8)
+for _kind, _some in ((_SPACE, "\t\n\v\f\r \x85\xa0"), (_NUMBER, "0123456789²³¹¼½¾"), (_LETTER, [chr(c) for c in range(256) if chr(c).isalpha()])):
+    _KIND[[ord(c) for c in _some]] = _kind
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,59 +46,139 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in seen)}
 
 
+def _latin(text: str) -> bytes | None:
+    """The text, a byte a letter, if it has only code points up to U+00FF and no mark of a special token."""
+    if "<|" in text:
+        return None
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
+def cut_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, cuts, first): lower-cased letters of all texts, where their parts and white space begin, and each text's first cut.
+
+    Part k is letters[cuts[k] : cuts[k + 1]], one of the tokenizer's pattern
+    's|'t|'re|'ve|'m|'ll|'d|[letters]+|[number]|[other]+, or a run of white space. No part lies in two texts.
+    """
+    begin = np.cumsum([0, *map(len, texts)])
+    n = int(begin[-1])
+    low = _LOWER[np.frombuffer(b"".join([*texts, b"\0\0\0"]), np.uint8)]
+    kind = _KIND[low]
+    edge = np.zeros(n + 3, bool)  # between two texts
+    edge[begin] = True
+    cut = edge.copy()
+    cut[1:n] |= (kind[1:n] != kind[: n - 1]) | (kind[1:n] == _NUMBER)
+    # an apostrophe that is no part of a longer run takes the letters of a contraction from the run behind it
+    q = np.flatnonzero(low[:n] == ord("'"))
+    q = q[cut[q] & (kind[q + 1] == _LETTER) & ~edge[q + 1]]
+    a, b = low[q + 1], low[q + 2]
+    one, two = np.isin(a, list(b"stmd")), ((b == ord("e")) & np.isin(a, list(b"rv")) | (a == ord("l")) & (b == ord("l"))) & ~edge[q + 2]
+    cut[q[one | two] + 1] = False
+    cut[q[one] + 2] = True
+    cut[q[two] + 3] = True
+    cuts = np.flatnonzero(cut[: n + 1])
+    return low[:n], cuts, np.searchsorted(cuts, begin)
+
+
+def _values(array: pa.LargeBinaryArray, at: np.ndarray | slice = slice(None)) -> list[bytes]:
+    """Values of a new array without nulls; with numbers `at`, in order, what lies between each and the next. (to_pylist makes a scalar a value.)"""
+    _, offsets, data = array.buffers()
+    places, whole = np.frombuffer(offsets, np.int64)[: len(array) + 1][at].tolist(), (data or pa.py_buffer(b"")).to_pybytes()
+    return [whole[a:b] for a, b in zip(places, places[1:])]
+
+
 class WordEncoder:
-    """ids of whole texts, as little-endian unsigned 32-bit bytes, by way of a cache of the texts' words and their parts.
+    """ids of whole texts, as little-endian unsigned 32-bit bytes, by way of a cache of their parts.
 
-    A word is what stands between white space, which the tokenizer drops: no token crosses it. Words of code points up
-    to U+00FF are lower-cased and cut into parts here, exactly as the tokenizer does it for them, and only parts that
-    are new go through its merges, many in one call: the last token of each part ends in the vocabulary's word-end
-    mark. Any other word goes through the whole tokenizer.
+    No token crosses a part of the tokenizer's pattern. Text of code points up to U+00FF is lower-cased and cut into
+    parts here, all texts at once, exactly as the tokenizer does it for them; each distinct part is looked up once, and
+    only parts that are new go through the merges, many in one call: the last token of each part ends in the
+    vocabulary's word-end mark. Words (white space, which the tokenizer drops, lies around them) with other code points
+    or a special token's mark go through the whole tokenizer, and only those: their text is taken apart around them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.merges = path, Tokenizer.from_file(path)
         self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        vocabulary = self.whole.get_vocab()
+        vocabulary = self.merges.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.letters = _byte_letters()
-        self.words, self.parts = Generations(), Generations()
+        self.words, self.parts = Generations(), Generations(200_000, 6_000_000)
 
-    def _written(self, part: str) -> str:
-        return part if part.isascii() and part.isalnum() else part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is, some 25 MB that only words of other code points need."""
+        from tokenizers import Tokenizer
 
-    def _learn(self, words: list[str]) -> None:
-        known, cut, other = self.words.young, {}, []
-        for w in words:
-            if "<|" not in w and (w.isascii() or max(w) <= "\xff"):
-                cut[w] = _PART.findall(w.lower())
+        return Tokenizer.from_file(self.path)
+
+    def _written(self, part: bytes) -> str:
+        text = part.decode("latin-1")
+        return text if part.isalnum() else text.encode("utf-8").decode("latin-1").translate(self.letters)
+
+    def _learn(self, parts: list[bytes]) -> None:
+        found, new = self.parts.young, []
+        for p in parts:
+            if _KIND[p[0]] == _SPACE:
+                found[p] = b""
             else:
-                other.append(w)
-        new = self.parts.missing({p for parts in cut.values() for p in parts})
-        found = self.parts.young
+                new.append(p)
         for k in range(0, len(new), 2000):
             some = new[k : k + 2000]
             ids = np.array(self.merges.encode(" ".join(map(self._written, some)), add_special_tokens=False).ids, "<u4")
             at = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
             data = ids.tobytes()
             found.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, at, at[1:]))
-        known.update((w, b"".join(map(found.__getitem__, parts))) for w, parts in cut.items())
-        for w, e in zip(other, self.whole.encode_batch(other, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        for w, e in zip(words, self.whole.encode_batch(words, add_special_tokens=False)):
+            self.words.young[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _by_parts(self, texts: list[bytes]) -> list[bytes]:
+        if not any(texts):
+            return [b""] * len(texts)
+        letters, cuts, first = cut_parts(texts)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(letters)]).dictionary_encode()
+        names = _values(parts.dictionary)
+        new = self.parts.missing(set(names))
+        if new:
+            self._learn(new)
+        ids = pa.array(map(self.parts.young.__getitem__, names), pa.large_binary()).take(parts.indices)
+        return _values(ids, first)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         with no_cycles():
             return self._encode(texts)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        words = [_SPLIT.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
-        new = self.words.missing(set().union(*words))
+        plain: list[bytes] = []
+        other: set[str] = set()
+        plans: list[list[str | None]] = []  # of each text, in order: None for what is next of `plain`, or a word of `other`
+        for t in texts:
+            whole = _latin(t)
+            if whole is not None:
+                plain.append(whole)
+                plans.append([None])
+                continue
+            plan: list[str | None] = []
+            for ours, words in groupby(_SPLIT.split(t) if any(c in t for c in _ODD) else t.split(), lambda w: "<|" not in w and (w.isascii() or max(w) <= "\xff")):
+                if ours:
+                    plain.append(" ".join(words).encode("latin-1"))
+                    plan.append(None)
+                else:
+                    plan += words
+            other.update(w for w in plan if w is not None)
+            plans.append(plan)
+        new = self.words.missing(other)
         if new:
-            self._learn(new)
-        get = self.words.young.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            self._learn_words(new)
+        ids, get = iter(self._by_parts(plain)), self.words.young.__getitem__
+        return [b"".join([next(ids) if w is None else get(w) for w in plan]) for plan in plans]
 
 
 @cache
@@ -119,7 +203,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0)
         doc, piece, start, length, crc = zip(*out)
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_and_text(docs).mapInArrow(in_slices(run), PIECES)
+    return id_and_text(docs).mapInArrow(in_slices(run, most=1_000_000), PIECES)
 
 
 class Capacities:
