@@ -35,3 +35,39 @@ def same(spark, twice, name):
 @pytest.mark.parametrize("name", ["map_author_nodes", "map_author_links", "map_cocited_nodes", "map_cocited_links"])
 def test_maps_of_two_components(spark, twice, name):
     same(spark, twice, name)
+
+
+@pytest.mark.parametrize("name", ["map_coupling_nodes", "map_coupling_links", "map_citation_nodes", "map_citation_links", "matched_strictly", "matched_first", "country_tops"])
+def test_records_of_two_components(spark, twice, name):
+    same(spark, twice, name)
+
+
+def test_maps_make_no_pairs_of_all_items(spark, monkeypatch):
+    """Strengths come from documents, so only the items of the map are paired."""
+    from inkmesh.operators import network
+    from inkmesh.plans.spec import MapSpec
+
+    found = record_queries.records(spark, DATA, *network.columns_of(MapSpec("coauthorship", "authors")))
+    assert set(found.columns) == {"rec_id", "year", "cites", "authors"}
+    staged = []
+    monkeypatch.setattr(network, "stage", lambda df, name="t": staged.append(name) or df)
+    network.build_map(found, MapSpec("coauthorship", "authors", max_items=3, largest=False), labels=False)
+    assert "pairs" not in staged
+
+
+def test_missing_keys_of_references_meet_nowhere(spark):
+    """A reference without a DOI is no row of the join: all of them would have gone to one task."""
+    from inkmesh.operators import match
+
+    recs = spark.createDataFrame([(0, "10.1/a", ["Fell, A"], 1980, "1", "9", []), (1, None, ["Bo, C"], 1990, "2", "7", ["Fell A, 1980, J SETS, V1, P9", "Nobody", "X, DOI 10.1/a"])], "rec_id long, doi string, authors array<string>, year int, volume string, pages string, refs array<string>")
+    assert [tuple(r) for r in match.match_refs_strict(recs).collect()] == [(1, 0)]
+    plan = match.match_refs_strict(recs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
+
+
+def test_parsed_table_is_the_expression(spark):
+    from inkmesh.functions import refs as R
+
+    rows = ["Fell A, 1980, J SETS, V1, P9", "Bo, C. (1999a). A title, J Nets, 12(3), pp. 33-40", "", None, "  O'Neil-Smith JR, 2001, V3, P4, DOI https://doi.org/10.1/X. ", "1984", "Anon, 1850, NATURE", "Ørsted H C, 1820, ANN, P273"]
+    df = spark.createDataFrame([(r,) for r in rows], "ref string")
+    assert R.parsed(df, "ref").select("p").collect() == df.select(R.ref_parse(df.ref).alias("p")).collect()
