@@ -8,34 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmesh.operators.vectors import nearest
-
-
-def _weights(tokens: DataFrame, n: DataFrame) -> DataFrame:
-    """(doc, token) -> doc, token, x: (1 + ln tf) (ln((N + 1) / (df + 1)) + 1), each document of length one."""
-    tf = tokens.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    x = tf.join(df, "token").join(F.broadcast(n)).withColumn("x", (1 + F.log("tf")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
-    size = x.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    return x.join(size, "doc").select("doc", "token", (F.col("x") / F.col("size")).alias("x"))
+from inkmesh.plans.staging import stage
 
 
 def similarity_to_seeds(docs: DataFrame, seeds: DataFrame, tokens: Column | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(doc, ...) and seeds (doc, ...) -> doc, score of docs against the seeds' centroid.
 
-    tokens is an array expression over either table, or a function from a table to its rows doc, token.
+    A token weighs (1 + ln tf) (ln((N + 1) / (df + 1)) + 1), documents have length one. tokens is an array expression
+    over either table, or a function from a table to its rows doc, token. N and document frequencies are over seeds and
+    candidates together; a seed among the candidates counts twice.
 
-    N and document frequencies are over seeds and candidates together; a seed among the candidates counts twice.
+    Texts are shuffled by document before they become tokens, counts of tokens go through one shuffle, by token, and a
+    document's length and product come back from there as two sums.
     """
     rows = tokens if callable(tokens) and not isinstance(tokens, Column) else lambda t: t.select("doc", F.explode(tokens).alias("token"))
-    side = lambda t, s: rows(t).select(F.struct(F.lit(s).alias("s"), F.col("doc").cast("string").alias("d")).alias("doc"), "token")
-    every = side(docs, 0).unionByName(side(seeds, 1))
+    counted = lambda t: stage(rows(t.repartition("doc")).groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    own, seed = counted(docs), counted(seeds)
     n = docs.select(F.lit(1)).unionAll(seeds.select(F.lit(1))).agg(F.count(F.lit(1)).alias("n"))
-    x = _weights(every, n)
-    centroid = x.where("doc.s = 1").groupBy("token").agg(F.sum("x").alias("c"))
+    df = own.select("token").unionAll(seed.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = stage(df.join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
+    x = (1 + F.log("tf")) * F.col("idf")
+    s = stage(seed.join(idf, "token").select("doc", "token", x.alias("x")), "seeds")
+    length = s.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    centroid = s.join(length, "doc").groupBy("token").agg(F.sum(F.col("x") / F.col("size")).alias("c"))
     size = centroid.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
     unit = centroid.join(F.broadcast(size)).select("token", (F.col("c") / F.col("size")).alias("c"))
-    score = x.where("doc.s = 0").join(unit, "token").groupBy(F.col("doc.d").alias("d")).agg(F.sum(F.col("x") * F.col("c")).alias("score"))
-    return docs.select("doc", F.col("doc").cast("string").alias("d")).join(score, "d", "left").select("doc", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("score", F.lit(0.0)))).alias("score"))
+    known = idf.join(unit, "token", "left")
+    sums = own.join(known, "token").groupBy("doc").agg(F.sum(x * x).alias("q"), F.sum(x * F.col("c")).alias("p"))
+    return docs.select("doc").join(sums, "doc", "left").select("doc", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide("p", F.sqrt("q")), F.lit(0.0)))).alias("score"))
 
 
 def rerank(scores: DataFrame, seeds: DataFrame, most: int = 500, least: float = 0.1) -> DataFrame:
