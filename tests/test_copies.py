@@ -71,3 +71,32 @@ def test_parsed_table_is_the_expression(spark):
     rows = ["Fell A, 1980, J SETS, V1, P9", "Bo, C. (1999a). A title, J Nets, 12(3), pp. 33-40", "", None, "  O'Neil-Smith JR, 2001, V3, P4, DOI https://doi.org/10.1/X. ", "1984", "Anon, 1850, NATURE", "Ørsted H C, 1820, ANN, P273"]
     df = spark.createDataFrame([(r,) for r in rows], "ref string")
     assert R.parsed(df, "ref").select("p").collect() == df.select(R.ref_parse(df.ref).alias("p")).collect()
+
+
+def test_coupling_of_documents_shuffles_lists(spark, twice):
+    import pyarrow as pa
+    import numpy as np
+
+    from inkmesh.operators import network
+
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 300, 3000), rng.zipf(1.5, 3000) % 60)})
+    df = spark.createDataFrame(rows, "doc long, ref long")
+    for fractional in (False, True):
+        of, want = {}, {}
+        for doc, ref in rows:
+            of.setdefault(ref, []).append(doc)
+        for docs in of.values():
+            for i, a in enumerate(docs):
+                for b in docs[i + 1 :] if 2 <= len(docs) <= 200 else ():
+                    want[a, b] = want.get((a, b), 0) + (1 / (len(docs) - 1) if fractional else 1)
+        made = network.coupling(df, 200, fractional)
+        got = {(r["a"], r["b"]): r["w"] for r in made.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # what is shuffled by document are lists; a row a pair was joined and then aggregated before
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan and not any("(ref" in x and "Join Inner" in x and "(a" in x for x in plan.splitlines())
+    batches = [pa.RecordBatch.from_pydict({"a": a, "f": [1.0] * len(a), "bs": b}) for a, b in (([1, 2], [[2, 3], [3]]), ([2, 2], [[3, 4], [4]]), ([5], [[6]]))]
+    out = [x for y in network._shared(iter(batches)) for x in y.to_pylist()]
+    assert sorted((r["a"], r["b"], r["w"]) for r in out) == [(1, 2, 1.0), (1, 3, 1.0), (2, 3, 2.0), (2, 4, 2.0), (5, 6, 1.0)]
+    same(spark, twice, "coupling_documents")
