@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkmesh.functions.text import ascii_fold, lower, title_case, trim
+from inkmesh.plans.staging import stage
 
 # Names, ISO codes and spellings of countries.
 COUNTRIES = """
@@ -289,21 +290,22 @@ def country_years(records: DataFrame, countries: DataFrame | None = None) -> Dat
 PROFILE = {"keywords": 12, "orgs": 6, "authors": 6, "sources": 5}
 
 
-def country_tops(records: DataFrame, countries: DataFrame | None = None, tops: dict[str, int] = PROFILE) -> DataFrame:
-    """country, what, place, key, label, docs: the most frequent units of every country's records, equals by key.
+def country_tops(records: DataFrame, countries: DataFrame | None = None, tops: dict[str, int] = PROFILE, labels: bool = True) -> DataFrame:
+    """country, what, place, key, label, docs: the most frequent units of every country's records, equals by key; without `labels` no label.
 
     Organisations count in records of one country only, as records do not say which of them lies where.
     """
     from inkmesh.operators.units import first_labels, incidence
 
-    own = countries_of(records) if countries is None else countries
+    own = stage(countries_of(records), "countries") if countries is None else countries  # read for each kind of unit
     parts = []
     for what, most in tops.items():
         inc = incidence(records, what)
-        n = inc.join(own.where("countries = 1") if what == "orgs" else own, "doc").groupBy("country", "key").agg(F.count(F.lit(1)).alias("docs"))
+        n = inc.select("doc", "key").join(own.where("countries = 1") if what == "orgs" else own, "doc").groupBy("country", "key").agg(F.count(F.lit(1)).alias("docs"))
         # rows beyond the limit go before the shuffle, so a country with most of all keys is no single task's load
         ranked = n.withColumn("place", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("docs"), "key"))).where(F.col("place") <= most)
-        parts.append(ranked.join(first_labels(inc), "key").select("country", F.lit(what).alias("what"), F.col("place").cast("long").alias("place"), "key", "label", "docs"))
+        ranked = ranked.join(first_labels(inc), "key") if labels else ranked
+        parts.append(ranked.select("country", F.lit(what).alias("what"), F.col("place").cast("long").alias("place"), "key", *["label"] * labels, "docs"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

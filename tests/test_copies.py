@@ -100,3 +100,14 @@ def test_coupling_of_documents_shuffles_lists(spark, twice):
     out = [x for y in network._shared(iter(batches)) for x in y.to_pylist()]
     assert sorted((r["a"], r["b"], r["w"]) for r in out) == [(1, 2, 1.0), (1, 3, 1.0), (2, 3, 2.0), (2, 4, 2.0), (5, 6, 1.0)]
     same(spark, twice, "coupling_documents")
+
+
+def test_tops_of_countries_read_what_they_need(spark, monkeypatch):
+    from inkmesh.operators import geo
+
+    staged = []
+    monkeypatch.setattr(record_queries, "stage", lambda df, name="t": staged.append(set(df.columns)) or df)
+    got = record_queries.country_tops(spark, DATA)
+    assert staged == [{"rec_id", "countries", "keywords", "authors", "source", "affiliations"}] and "label" not in got.columns
+    found = record_queries.records(spark, DATA, *sorted(staged[0])).where("rec_id < 200")
+    assert sorted(geo.country_tops(found).drop("label").collect()) == sorted(geo.country_tops(found, labels=False).collect())
